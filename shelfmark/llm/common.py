@@ -7,7 +7,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text a Python worker lays out in NumPy at once; a longer text is a chunk of its own.
 CHUNK_BYTES = 2 << 20
@@ -127,3 +128,53 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         np.cumsum(_BYTE_VALUE[data] * _power(_BASE, n), out=total[1:])
         raw = (total[ends] - total[starts]) * _power(_BASE_INVERSE, n + 1)[starts]
         return mix64(raw + (ends - starts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+#: Bits of a key filter, whatever the number of keys: 4 MB. A fuller filter lets more rows through; it never loses one.
+FILTER_BITS = 1 << 25
+_FILTER_WORD = 32768
+
+
+def filter_bit(key: Column) -> Column:
+    """The bit of a Bloom filter with one hash function."""
+    return F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
+
+
+def key_filter(keys: DataFrame, key: str) -> np.ndarray:
+    """The filter's bytes: built in the executors as 4 KB bitmaps, of which there are FILTER_BITS / 32,768 + 1 at most."""
+    bit = keys.select(filter_bit(F.col(key)).alias("b"))
+    parts = bit.groupBy(F.expr("bitmap_bucket_number(b)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(b))").alias("bits")).collect()
+    bits = np.zeros(FILTER_BITS // 8 + _FILTER_WORD, np.uint8)
+    for r in parts:
+        first = r["bucket"] * (_FILTER_WORD // 8)
+        part = np.frombuffer(bytes(r["bits"]), np.uint8)
+        bits[first : first + len(part)] |= part
+    return bits
+
+
+def filter_hits(bits: np.ndarray, bit: np.ndarray) -> np.ndarray:
+    """Which of the filter_bit() values are in the filter."""
+    # bitmap_bucket_number counts from 1 for bits 1..32768, and bit 0 stands in bucket 0 at position 0.
+    bucket, position = np.where(bit > 0, 1 + (bit - 1) // _FILTER_WORD, 0), np.where(bit > 0, (bit - 1) % _FILTER_WORD, 0)
+    return ((bits[bucket * (_FILTER_WORD // 8) + (position >> 3)] >> (position & 7).astype(np.uint8)) & 1).astype(bool)
+
+
+def components(edges: DataFrame, name: str) -> DataFrame:
+    """(node, root) for every node of edges (a, b): root is the component's smallest node; roots themselves are left out.
+
+    Large-star and small-star steps alternate until nothing changes; each round is a written table.
+    """
+    e = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct(), name)
+    before = None
+    while True:
+        sym = e.unionByName(e.select(F.col("lo").alias("hi"), F.col("hi").alias("lo")))
+        low = sym.groupBy("hi").agg(F.min("lo").alias("low")).select("hi", F.least("hi", "low").alias("low"))
+        large = sym.filter("lo > hi").join(low, "hi").select(F.col("lo").alias("hi"), F.col("low").alias("lo"))
+        large = large.filter("hi <> lo").distinct()
+        low = large.groupBy("hi").agg(F.min("lo").alias("low"))
+        rest = large.join(low, "hi").filter("lo <> low").select(F.col("lo").alias("hi"), F.col("low").alias("lo"))
+        e = written(low.select("hi", F.col("low").alias("lo")).unionByName(rest).distinct(), name)
+        now = e.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).head()
+        if now == before:
+            return e.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
+        before = now
