@@ -255,6 +255,26 @@ def train(docs: DataFrame, labels: DataFrame, most: int = FIT_DOCUMENTS) -> dict
     return fit(base, np.concatenate(size), np.array([len(s) for s in size]), np.array([r["label"] for r in rows]))
 
 
+def _scored(field: dict | None, part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    base, size, counts = line_features(*utf8(part.column("text")))
+    if field is None:
+        return np.full(len(counts), 0.5), counts, np.zeros(len(counts), np.int64)
+    score, _, bad = document_scores(field, base, size, counts)
+    return score, counts, bad
+
+
+def good_documents(docs: DataFrame, labels: DataFrame, most: int = FIT_DOCUMENTS) -> DataFrame:
+    """The rows of docs, with all their columns, whose score is 0.5 or more; nulls and empty texts as in quality()."""
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, most))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                yield part.filter(pa.array(_scored(shared.value, part)[0] >= 0.5))
+
+    return docs.mapInArrow(task, docs.schema)
+
+
 def quality(docs: DataFrame, labels: DataFrame, most: int = FIT_DOCUMENTS) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, held_out, score, predicted, n_lines, n_bad_lines.
 
@@ -266,14 +286,9 @@ def quality(docs: DataFrame, labels: DataFrame, most: int = FIT_DOCUMENTS) -> Da
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        field = shared.value
         for batch in batches:
             for part in slices(batch):
-                base, size, counts = line_features(*utf8(part.column("text")))
-                if field is None:
-                    score, bad = np.full(len(counts), 0.5), np.zeros(len(counts), np.int64)
-                else:
-                    score, _, bad = document_scores(field, base, size, counts)
+                score, counts, bad = _scored(shared.value, part)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(score), pa.array(counts.astype(np.int64)), pa.array(bad)], ["doc_id", "score", "n_lines", "n_bad_lines"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

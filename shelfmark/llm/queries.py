@@ -36,7 +36,15 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), least_percent=85)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_quality_classifier, op5_mix_sources, op7_exact_dedup, op8_minhash_near_dedup)}
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .bpe import bpe
+
+    return bpe(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_quality_classifier, op5_mix_sources, op7_exact_dedup, op8_minhash_near_dedup, op10_bpe)}
 
 ORACLE_SQL: dict[str, str] = {
     "op7_exact_dedup": """
