@@ -46,6 +46,12 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op4_hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hmm import lm_scores
+
+    return lm_scores(_table(spark, sf_dir, "documents"))
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
@@ -84,7 +90,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filters, op2_personal_data, op3_quality_classifier, op5_mix_sources, op6_secret_scan, op7_exact_dedup, op8_minhash_near_dedup, op9_fingerprints, op10_bpe)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filters, op2_personal_data, op3_quality_classifier, op4_hmm_scores, op5_mix_sources, op6_secret_scan, op7_exact_dedup, op8_minhash_near_dedup, op9_fingerprints, op10_bpe)}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_url_filters": r"""
