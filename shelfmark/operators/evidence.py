@@ -7,6 +7,7 @@ import difflib
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Characters of a diff that are kept.
 DIFF_CHARS = 4000
@@ -33,7 +34,7 @@ def line_delta(before: Column, after: Column) -> tuple[Column, Column]:
     return F.array_except(b, a), F.array_except(a, b)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unified_diff(before: pd.Series, after: pd.Series) -> pd.Series:
     """A unified diff with two lines of context, cut to DIFF_CHARS."""
 
