@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 
 
 def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Records of JSON files; an empty table if there are none, and no rows for damaged records."""
+    """Records of files with one JSON object a line; an empty table if there are none, and no rows for damaged records."""
     try:
-        return spark.read.schema(schema + ", _corrupt string").option("columnNameOfCorruptRecord", "_corrupt").json(path).filter(F.isnull("_corrupt")).drop("_corrupt")
+        lines = spark.read.text(path).filter("trim(value) <> ''")
+        parsed = F.from_json("value", schema + ", _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"})
+        return lines.select(parsed.alias("r")).filter("r._corrupt is null").select("r.*").drop("_corrupt")
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
