@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.llm.bpe import bpe
-from shelfmark.llm.common import written
+from shelfmark.llm.common import free_names, written
 from shelfmark.llm.exact_dedup import exact_dedup
 from shelfmark.llm.mixing import mix
 from shelfmark.llm.near_dedup import near_duplicates
@@ -21,17 +21,18 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each text, that with the largest doc_id. Rows are told apart by doc_id and digest."""
     told = written(exact_dedup(docs, keep="largest").groupBy("doc_id", "text_sha256").agg(F.bool_or("kept").alias("any"), F.bool_and("kept").alias("all")), "stage-exact")
-    keyed = docs.withColumn("__sha", F.sha2(F.coalesce("text", F.lit("")), 256))
+    (sha,) = free_names(docs, "sha")
+    keyed = docs.withColumn(sha, F.sha2(F.coalesce("text", F.lit("")), 256))
 
     def same(t: DataFrame):
-        return keyed["doc_id"].eqNullSafe(t["doc_id"]) & (keyed["__sha"] == t["text_sha256"])
+        return keyed["doc_id"].eqNullSafe(t["doc_id"]) & (keyed[sha] == t["text_sha256"])
 
     gone = told.filter("not `any`").select("doc_id", "text_sha256")
     out = keyed.join(gone, same(gone), "left_anti")
     repeated = told.filter("`any` and not `all`").select("doc_id", "text_sha256")
     if not repeated.isEmpty():
         # Rows that repeat both doc_id and text: one of them stays.
-        once = out.join(repeated, same(repeated), "left_semi").dropDuplicates(["doc_id", "__sha"])
+        once = out.join(repeated, same(repeated), "left_semi").dropDuplicates(["doc_id", sha])
         out = out.join(repeated, same(repeated), "left_anti").unionByName(once)
     return out.select(*docs.columns)
 
@@ -44,11 +45,12 @@ def near_duplicate_groups(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents in the order of the Pfair schedule: files and their rows follow slot and place."""
-    plan = mix(docs).groupBy("doc_id").agg(F.min(F.struct("slot", "seq")).alias("__at"))
-    placed = docs.join(plan.withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id")), "left")
+    key, slot, seq = free_names(docs, "of", "slot", "seq")
+    at = mix(docs).groupBy(F.col("doc_id").alias(key)).agg(F.min(F.struct("slot", "seq")).alias("at"))
+    at = at.select(key, F.col("at.slot").alias(slot), F.col("at.seq").alias(seq))
+    placed = docs.join(at, F.col("doc_id").eqNullSafe(F.col(key)), "left")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = placed.select(*docs.columns, F.col("__at.slot").alias("__slot"), F.col("__at.seq").alias("__seq"))
-    return ordered.repartitionByRange(n, "__slot", "__seq").sortWithinPartitions("__slot", "__seq").select(*docs.columns)
+    return placed.repartitionByRange(n, slot, seq).sortWithinPartitions(slot, seq).select(*docs.columns)
 
 
 def bpe_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

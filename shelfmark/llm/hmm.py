@@ -151,7 +151,7 @@ def _fit_sample(texts: list[bytes], states: int, rounds: int) -> tuple[Model, di
     block = Block()
     for text in texts:
         block.add(np.frombuffer(text, np.uint8), np.array([0, len(text)]), [None], np.array([False]))
-    codes, lengths = block.codes(), np.array(block.lengths)
+    codes, lengths = block.codes(), np.array(block.lengths, np.int64)
     n = len(block.number)
     rng = np.random.default_rng(7)
     model = Model(np.full((states, states), 0.05 / max(states - 1, 1)) + np.eye(states) * (0.95 - 0.05 / max(states - 1, 1)), np.full(states, 1 / states))
@@ -162,6 +162,7 @@ def _fit_sample(texts: list[bytes], states: int, rounds: int) -> tuple[Model, di
         counts = np.stack([np.bincount(codes, weights=gamma[:, s], minlength=n) for s in range(states)], axis=1)
         mass = counts.sum(axis=0) + 1e-9
         ratio = ((1 - BACKOFF) * counts / mass + BACKOFF * rate[:, None]) / np.maximum(rate, 1e-12)[:, None]
+        ratio[rate == 0] = 1
         if k == rounds or not len(codes):
             break
         chains = Chains(model, ratio[codes], lengths)
