@@ -14,16 +14,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import filter_bit, filter_hits, key_filter, written
 
 #: Text bytes that a memtable holds before it is flushed.
 MEMTABLE_BYTES = 16 << 20
-#: Bits of the filter over hits, whatever their number: 4 MB. A fuller filter only lets more texts through to the comparison.
-FILTER_BITS = 1 << 25
-_WORD = 32768
 
 _RUNS = "entry long, digest binary, sha binary, best long, n long, ids array<long>"
 
@@ -68,34 +65,17 @@ def _memtables(digest_bytes: int, keep_largest: bool, memtable_bytes: int):
     return task
 
 
-def _filter_bit(digest: Column) -> Column:
-    return F.pmod(F.xxhash64(digest), F.lit(FILTER_BITS))
-
-
-def _hit_filter(hits: DataFrame) -> DataFrame:
-    """Bitmaps of 32,768 bits, at most FILTER_BITS / 32,768 + 1 rows of 4 KB."""
-    bit = hits.select(_filter_bit(F.col("digest")).alias("b"))
-    return bit.groupBy(F.expr("bitmap_bucket_number(b)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(b))").alias("bits"))
-
-
 def _suspects(docs: DataFrame, hits: DataFrame, digest_bytes: int) -> DataFrame:
     """(digest, body) of the texts that the filter over the hits lets through; a task gives each text once."""
-    parts = _hit_filter(hits).collect()
-    bits = np.zeros(FILTER_BITS // 8, np.uint8)
-    for r in parts:
-        first = (r["bucket"] - 1) * (_WORD // 8)
-        part = np.frombuffer(bytes(r["bits"]), np.uint8)
-        bits[first : first + len(part)] |= part[: len(bits) - first]
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
+    shared = docs.sparkSession.sparkContext.broadcast(key_filter(hits, "digest"))
     keyed = docs.select(F.coalesce("text", F.lit("")).cast("binary").alias("body"))
     keyed = keyed.select("body", F.substring(F.unhex(F.sha2("body", 256)), 1, digest_bytes).alias("digest"))
-    keyed = keyed.withColumn("bit", _filter_bit(F.col("digest")))
+    keyed = keyed.withColumn("bit", filter_bit(F.col("digest")))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        have, seen, held = shared.value, set(), 0
+        seen, held = set(), 0
         for batch in batches:
-            bit = batch.column(2).to_numpy()
-            at = np.flatnonzero((have[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1)
+            at = np.flatnonzero(filter_hits(shared.value, batch.column(2).to_numpy()))
             some = batch.take(pa.array(at)).select(["digest", "body"])
             new = []
             for k, body in enumerate(some.column(1).to_pylist()):
@@ -128,7 +108,8 @@ def exact_dedup(docs: DataFrame, keep: str = "smallest", memtable_bytes: int = M
     hits = written(hits, "dedup-hits")
 
     same = _suspects(docs, hits, digest_bytes).groupBy("digest").agg(F.min("body").alias("low"), F.max("body").alias("high"))
-    differing = written(hits.join(same.filter("low <> high").select("digest"), "digest", "left_semi").select("digest"), "dedup-differing")
+    # Whatever isn't found equal byte for byte is regrouped.
+    differing = written(hits.join(same.filter("low = high").select("digest"), "digest", "left_anti").select("digest"), "dedup-differing")
     clashes = not differing.isEmpty()
     sound = hits.join(differing, "digest", "left_anti") if clashes else hits
     told = runs.select("entry", "digest").join(sound, "digest").select("entry", "keep_id", "winner", "group_size")

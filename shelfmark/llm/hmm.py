@@ -35,7 +35,7 @@ SEGMENT = 64
 #: A block is closed when it has so many bytes of text or distinct words.
 BLOCK_BYTES = 24 << 20
 BLOCK_WORDS = 400_000
-#: The share of each state's emissions that follows the unigram model.
+#: The share of each state's emissions that follows the unigram model while the sample is fitted.
 BACKOFF = 0.1
 #: Expected counts are multiples of 1 / UNIT, and a word's shares of the states multiples of 1 / 255.
 UNIT = 256
@@ -304,7 +304,9 @@ def _emissions(counts: np.ndarray, shares: np.ndarray, totals: dict, states: int
     part = np.stack([(shares >> (8 * k)) & 255 for k in range(states)], axis=1) / 255 * counts[:, None]
     mass = np.array(totals["mass"])
     own = np.divide(part, mass, out=np.tile(unigram[:, None], (1, states)), where=mass > 0)
-    return (1 - BACKOFF) * own + BACKOFF * unigram[:, None], unigram
+    # As many of a state's words are new as it has had new words so far (Witten and Bell).
+    new = (np.array(totals["types"]) + 1) / (np.array(totals["types"]) + mass + 1)
+    return (1 - new) * own + new * unigram[:, None], unigram
 
 
 def _score(model: Model, totals: dict, states: int):
@@ -370,8 +372,9 @@ def lm_scores(docs: DataFrame, states: int = STATES, sample: int = SAMPLE) -> Da
     vocabulary = rows.withColumn("total", total).select("word", (F.col("total") / UNIT).cast("long").alias("c"), sum((F.shiftleft(upto[k + 1] - upto[k], 8 * k) for k in range(1, states)), upto[1] - upto[0]).alias("shares"))
     vocabulary = written(vocabulary, "hmm-vocabulary")
     mass = [F.sum(F.shiftright("shares", 8 * k).bitwiseAND(F.lit(255)) * F.col("c") / 255.0).alias(f"m{k}") for k in range(states)]
-    sums = vocabulary.agg(F.count("*").alias("v"), F.coalesce(F.sum("c"), F.lit(0)).alias("n"), *mass).head()
-    totals = {"v": sums["v"], "n": sums["n"], "mass": [sums[f"m{k}"] or 0.0 for k in range(states)]}
+    types = [F.sum(F.shiftright("shares", 8 * k).bitwiseAND(F.lit(255)) / 255.0).alias(f"t{k}") for k in range(states)]
+    sums = vocabulary.agg(F.count("*").alias("v"), F.coalesce(F.sum("c"), F.lit(0)).alias("n"), *mass, *types).head()
+    totals = {"v": sums["v"], "n": sums["n"], "mass": [sums[f"m{k}"] or 0.0 for k in range(states)], "types": [sums[f"t{k}"] or 0.0 for k in range(states)]}
 
     keys = blocks.select(F.col("block").alias("of_block"), F.posexplode("words").alias("pos", "word"))
     dictionary = keys.join(vocabulary, "word", "left").select("of_block", "pos", F.coalesce("c", F.lit(0)).alias("c"), F.coalesce("shares", F.lit(0)).alias("shares"))
