@@ -19,9 +19,12 @@ from pyspark.sql import functions as F
 
 from .common import filter_bit, filter_hits, key_filter, written
 
-#: Text bytes that a memtable holds before it is flushed.
+#: Bytes of texts and identifiers that a memtable holds before it is flushed.
 MEMTABLE_BYTES = 16 << 20
 
+#: What an identifier in a memtable counts besides its text.
+ENTRY_BYTES = 64
+
 _RUNS = "entry long, digest binary, sha binary, best long, n long, ids array<long>"
 
 
@@ -56,6 +59,7 @@ def _memtables(digest_bytes: int, keep_largest: bool, memtable_bytes: int):
                     held += len(body)
                 else:
                     entry[1][1].append(key)
+                held += ENTRY_BYTES
                 if held >= memtable_bytes:
                     yield _flush(table, run, keep_largest)
                     table, held, run = {}, 0, run + 1
