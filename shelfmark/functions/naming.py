@@ -45,13 +45,14 @@ def clipped(normalized: Column, limit: int) -> Column:
         return F.regexp_replace(F.left(x, F.lit(limit)), tail, "")
 
     safe = cut(F.trim(F.regexp_replace(normalized, r'[\x00-\x1f<>:"/\\|?*]', "-"), F.lit(" .-_")))
-    return F.when(F.lower(safe).isin(*DEVICE_NAMES), cut(F.concat(safe, F.lit("-文件")))).otherwise(safe)
+    # A device name is matched and extended in one step, so that the expression isn't repeated.
+    return cut(F.regexp_replace(safe, f"(?i)^({'|'.join(DEVICE_NAMES)})$", "$1-文件"))
 
 
 def dated_name(original: Column, suggested: Column, modified: Column) -> Column:
     """yymmdd-summary with the original suffix; the original name if nothing is left of the suggestion."""
-    summary = clipped(stem(suggested), 15)
-    return F.when(F.coalesce(summary, F.lit("")) == "", original).otherwise(F.concat(F.date_format(modified, "yyMMdd"), F.lit("-"), summary, suffix(original)))
+    summary = F.nullif(clipped(stem(suggested), 15), F.lit(""))
+    return F.coalesce(F.concat(F.date_format(modified, "yyMMdd"), F.lit("-"), summary, suffix(original)), original)
 
 
 def joined_path(*parts: Column) -> Column:

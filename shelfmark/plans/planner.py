@@ -88,9 +88,11 @@ def make_plan(files: DataFrame, intent: DataFrame, state: DataFrame, extensions:
     f = f.withColumn("destination", joined_path(F.col("category"), F.col("intent_group"), F.col("new_name")))
     settled = f.filter("path = destination").select(F.col("path").alias("source"), F.lit("settled").alias("reason"))
     taken = (existing if existing is not None else files).select(F.col("path").alias("destination")).distinct().withColumn("taken", F.lit(True))
-    moving = f.filter("path <> destination").join(taken, "destination", "left")
     status = F.when(F.col("needed"), "analysis-required").when(F.coalesce("taken", F.lit(False)), "conflict").otherwise("planned")
-    moves = moving.withColumn("status", status).withColumn("place", F.expr("row_number() over (partition by destination order by lower(path), path)"))
+    # Counting only the files that move, and filtering after the window: the filter would otherwise be pushed down and
+    # work out the whole destination once more.
+    place = F.expr("cast(count_if(path <> destination) over (partition by destination order by lower(path), path) as int)")
+    moves = f.join(taken, "destination", "left").withColumns({"status": status, "place": place}).filter("path <> destination")
     moves = moves.select(
         F.col("path").alias("source"), "destination", F.col("name").alias("original_name"), "new_name", (F.col("name") != F.col("new_name")).alias("renamed"), "intent_group", "category", "reason", "status", "private", "already_organized", "fingerprint", "size", "mtime_ns", "place"
     )
