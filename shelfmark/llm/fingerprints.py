@@ -8,6 +8,8 @@ the generalised Jaccard similarity of their bags: the sum of lesser weights over
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,8 +23,8 @@ _LOWEST = -(1 << 63)
 
 
 def _uniform(bits: Column, shift: int) -> Column:
-    """21 of the bits as a number within (0, 1)."""
-    return (F.shiftrightunsigned(bits, shift).bitwiseAND(F.lit((1 << 21) - 1)) + 0.5) / float(1 << 21)
+    """21 of the bits as a number within (0, 2**21); logarithms and products take the factor out later."""
+    return F.shiftrightunsigned(bits, shift).bitwiseAND(F.lit((1 << 21) - 1)).cast("double") + 0.5
 
 
 def _samples(word: Column, i: int, logs: list[Column]) -> list[Column]:
@@ -32,10 +34,12 @@ def _samples(word: Column, i: int, logs: list[Column]) -> list[Column]:
     """
     x = F.xxhash64(word, F.lit(i))
     y = F.xxhash64(x)
-    r = -F.log(_uniform(x, 0) * _uniform(x, 21))
-    log_c = F.log(-F.log(_uniform(x, 42) * _uniform(y, 0)))
-    b = _uniform(y, 21)
-    return [log_c - r * (F.floor(w / r + b) - b + 1) for w in logs]
+    scale = 42 * math.log(2)
+    minus_r = F.log(_uniform(x, 0) * _uniform(x, 21)) - scale
+    log_c = F.log(scale - F.log(_uniform(x, 42) * _uniform(y, 0)))
+    b = _uniform(y, 21) * 2.0**-21
+    per_r, rest = F.lit(-1.0) / minus_r, F.lit(1.0) - b
+    return [log_c + minus_r * (F.floor(w * per_r + b).cast("double") + rest) for w in logs]
 
 
 def agreement(a: Column, b: Column, samples: int) -> Column:
