@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import slices, span_hashes, utf8, words
 
 #: Words whose ids a worker remembers; with more it starts afresh.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 _NONE = np.int64(1 << 40)
 _WHITE = r"\t-\r \x85\xa0  -     　"
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text a Python worker lays out in NumPy at once; a longer text is a chunk of its own.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -179,10 +179,11 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     before = None
     while True:
         sym = e.unionByName(e.select(F.col("lo").alias("hi"), F.col("hi").alias("lo")))
-        low = sym.groupBy("hi").agg(F.min("lo").alias("low")).select("hi", F.least("hi", "low").alias("low"))
+        # Written, so that both sides of the join come straight from an exchange and a hub's edges can be split.
+        low = written(sym.groupBy("hi").agg(F.min("lo").alias("low")).select("hi", F.least("hi", "low").alias("low")), name)
         large = sym.filter("lo > hi").join(low, "hi").select(F.col("lo").alias("hi"), F.col("low").alias("lo"))
-        large = large.filter("hi <> lo").distinct()
-        low = large.groupBy("hi").agg(F.min("lo").alias("low"))
+        large = written(large.filter("hi <> lo").distinct(), name)
+        low = written(large.groupBy("hi").agg(F.min("lo").alias("low")), name)
         rest = large.join(low, "hi").filter("lo <> low").select(F.col("lo").alias("hi"), F.col("low").alias("lo"))
         e = written(low.select("hi", F.col("low").alias("lo")).unionByName(rest).distinct(), name)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).head()

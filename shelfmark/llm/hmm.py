@@ -176,6 +176,7 @@ class Block:
 
     def __init__(self) -> None:
         self.number: dict[bytes, int] = {END: 0}
+        self.order: list[bytes] = [END]
         self.ids: list = []
         self.lengths: list[int] = []
         self.held: list[bool] = []
@@ -187,9 +188,15 @@ class Block:
         data = lowered(data)
         starts, ends, text = words(data, at)
         _, first, inverse = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
-        raw, number = data.tobytes(), self.number
-        distinct = [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
-        of = np.array([number.setdefault(w, len(number)) for w in distinct], np.int32)
+        raw, number, order = data.tobytes(), self.number, self.order
+        of = np.zeros(len(first), np.int32)
+        for k, (a, b) in enumerate(zip(starts[first].tolist(), ends[first].tolist(), strict=True)):
+            word = raw[a:b]
+            n = number.get(word)
+            if n is None:
+                n = number[word] = len(order)
+                order.append(word)
+            of[k] = n
         counts = np.bincount(text, minlength=len(at) - 1)
         codes = np.zeros(len(starts) + len(counts), np.int32)
         keep = np.ones(len(codes), bool)
@@ -244,12 +251,12 @@ def _encode(model: Model, ratio: dict[bytes, np.ndarray], states: int):
         state: dict = {}
 
         def fresh() -> None:
-            state.update(block=Block(), rows=[], counts=np.zeros((1 << 12, states)), total=np.zeros(1 << 12, np.int64), pairs=np.zeros((states, states)), start=np.zeros(states))
+            state.update(block=Block(), rows=np.zeros(1 << 12, np.int32), counts=np.zeros((1 << 12, states)), total=np.zeros(1 << 12, np.int64), pairs=np.zeros((states, states)), start=np.zeros(states))
 
         def close() -> pa.RecordBatch:
             nonlocal serial
             block: Block = state["block"]
-            n = len(block.number)
+            n = len(block.order)
             e = _rounded(state["counts"][:n], state["total"][:n])
             columns = [
                 pa.array([serial], pa.int64()),
@@ -257,7 +264,7 @@ def _encode(model: Model, ratio: dict[bytes, np.ndarray], states: int):
                 pa.array([block.lengths], pa.list_(pa.int32())),
                 pa.array([block.held], pa.list_(pa.bool_())),
                 pa.array([_packed(block.codes())], pa.binary()),
-                pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), pa.array(list(block.number), pa.binary()).cast(pa.string())),
+                pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), pa.array(block.order, pa.binary()).cast(pa.string())),
                 pa.array([state["pairs"].ravel()], pa.list_(pa.float64())),
                 pa.array([state["start"]], pa.list_(pa.float64())),
                 *(pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), pa.array(e[:, k])) for k in range(states)),
@@ -270,21 +277,21 @@ def _encode(model: Model, ratio: dict[bytes, np.ndarray], states: int):
         for batch in batches:
             for part in slices(batch):
                 block: Block = state["block"]
-                before = len(block.number)
+                before = len(block.order) if block.lengths else 0
                 ids = part.column(0).to_pylist()
                 held = held_out(ids)
                 codes, lengths = block.add(*utf8(part.column("text")), ids, held)
-                new = list(block.number)[before:] if before > 1 else list(block.number)
-                state["rows"] += [known.get(w, len(known)) for w in new]
-                n = len(block.number)
+                n = len(block.order)
                 if n > len(state["total"]):
-                    size = 2 * n
+                    size = n + n // 2
+                    state["rows"] = np.concatenate([state["rows"], np.zeros(size - len(state["rows"]), np.int32)])
                     state["counts"] = np.concatenate([state["counts"], np.zeros((size - len(state["counts"]), states))])
                     state["total"] = np.concatenate([state["total"], np.zeros(size - len(state["total"]), np.int64)])
+                state["rows"][before:n] = [known.get(w, len(known)) for w in block.order[before:]]
                 train = ~np.repeat(held, lengths)
                 codes, lengths = codes[train], lengths[~held]
                 if len(codes):
-                    gamma, pairs, start = Chains(model, table[np.array(state["rows"])[codes]], lengths).expected()
+                    gamma, pairs, start = Chains(model, table[state["rows"][codes]], lengths).expected()
                     for k in range(states):
                         state["counts"][:n, k] += np.bincount(codes, weights=gamma[:, k], minlength=n)
                     state["total"][:n] += np.bincount(codes, minlength=n)
