@@ -4,7 +4,8 @@ forward recursion.
 A text is a sequence of words and one end. A first pass lays documents out as blocks of word numbers with a
 dictionary each, and computes expected counts of the training documents under an initial model, which is fitted on a
 bounded sample. The counts of all blocks add up, word by word, to the model's emissions, which are a table as large as
-the vocabulary and never in one place: blocks get the rows of their own words by a join. Further rounds repeat this.
+the vocabulary and never in one place: blocks get the rows of their own words by a join. Further rounds repeat this over
+all training documents, with the emissions of the round before.
 
 Within a block, texts are cut into segments. The transfer matrices of all segments are computed side by side, chained
 along each text, and give every segment its exact start: long texts cost no more steps than short ones.
@@ -27,9 +28,9 @@ from .common import lowered, slices, span_hashes, utf8, words, written
 STATES = 6
 #: Training documents of the sample that the initial model is fitted on, those with the smallest hashes of doc_id.
 SAMPLE = 600
-#: Rounds over the sample, and over all training documents.
+#: Rounds over the sample, and over all training documents (the first of them while blocks are laid out).
 SAMPLE_ROUNDS = 30
-ROUNDS = 1
+ROUNDS = 3
 #: Words of a segment.
 SEGMENT = 64
 #: A block is closed when it has so many bytes of text or distinct words.
@@ -39,8 +40,12 @@ BLOCK_WORDS = 400_000
 BACKOFF = 0.1
 #: Expected counts are multiples of 1 / UNIT, and a word's shares of the states multiples of 1 / 255.
 UNIT = 256
+#: Expected transitions and starts are multiples of 1 / SIDE_UNIT.
+SIDE_UNIT = 1 << 20
 #: The end of a text in the dictionary; no word is a line feed.
 END = b"\n"
+#: Names, in tables of expected counts, of the rows with a state's transitions and of the row with the starts.
+SIDE = "\n\n"
 
 
 class Model:
@@ -316,40 +321,111 @@ def _emissions(counts: np.ndarray, shares: np.ndarray, totals: dict, states: int
     return (1 - new) * own + new * unigram[:, None], unigram
 
 
+def _parts(block: pa.Table, row: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Texts of a block in parts of about 2^18 words: the first and last of each, their word numbers and lengths."""
+    lengths = block["lengths"][row].values.to_numpy()
+    codes = _unpacked(block["codes"][row].as_py(), int(lengths.sum()))
+    ends = np.cumsum(lengths)
+    first = 0
+    while first < len(lengths):
+        begin = ends[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, begin + (1 << 18), "right")))
+        yield first, last, codes[begin : ends[last - 1]], lengths[first:last].astype(np.int64)
+        first = last
+
+
+def _dictionary(dictionary: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Counts and packed shares of a block's words by their numbers."""
+    n = dictionary.num_rows
+    counts, shares = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    at = dictionary["pos"].to_numpy()
+    counts[at], shares[at] = dictionary["c"].to_numpy(), dictionary["shares"].to_numpy()
+    return counts, shares
+
+
+def _expect(model: Model, totals: dict, states: int):
+    """Expected counts of a block's training documents: a row for each of their words, and the side rows."""
+    names = ["word", *(f"e{k}" for k in range(states))]
+
+    def group(block: pa.Table, dictionary: pa.Table) -> pa.Table:
+        counts, shares = _dictionary(dictionary)
+        n = len(counts)
+        emit, _ = _emissions(counts, shares, totals, states)
+        expected, total = np.zeros((n, states)), np.zeros(n, np.int64)
+        pairs, start = np.zeros((states, states)), np.zeros(states)
+        for row in range(block.num_rows):
+            held = block["held"][row].values.to_numpy(zero_copy_only=False)
+            for first, last, codes, lengths in _parts(block, row):
+                out = held[first:last]
+                codes, lengths = codes[~np.repeat(out, lengths)], lengths[~out]
+                if len(codes):
+                    gamma, p, s = Chains(model, emit[codes], lengths).expected()
+                    for k in range(states):
+                        expected[:, k] += np.bincount(codes, weights=gamma[:, k], minlength=n)
+                    total += np.bincount(codes, minlength=n)
+                    pairs += p
+                    start += s
+        order = np.empty(n, np.int64)
+        order[dictionary["pos"].to_numpy()] = np.arange(n)
+        seen = np.flatnonzero(total)
+        e = _rounded(expected[seen], total[seen])
+        side = np.rint(np.vstack([pairs, start]) * SIDE_UNIT).astype(np.int64)
+        words = dictionary["word"].combine_chunks().take(pa.array(order[seen]))
+        words = pa.concat_arrays([words.combine_chunks() if isinstance(words, pa.ChunkedArray) else words, pa.array([f"{SIDE}{k}" for k in range(states + 1)], words.type)])
+        return pa.table([words, *(pa.array(np.concatenate([e[:, k], side[:, k]])) for k in range(states))], names=names)
+
+    return group
+
+
 def _score(model: Model, totals: dict, states: int):
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
     def group(block: pa.Table, dictionary: pa.Table) -> pa.Table:
         out = []
-        n = dictionary.num_rows
-        counts, shares = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        at = dictionary["pos"].to_numpy()
-        counts[at], shares[at] = dictionary["c"].to_numpy(), dictionary["shares"].to_numpy()
+        counts, shares = _dictionary(dictionary)
         emit, unigram = _emissions(counts, shares, totals, states)
         log_unigram, known = np.log10(unigram), counts > 0
         for row in range(block.num_rows):
-            lengths = block["lengths"][row].values.to_numpy()
-            codes = _unpacked(block["codes"][row].as_py(), int(lengths.sum()))
-            ends = np.cumsum(lengths)
             ids, held = block["ids"][row].values, block["held"][row].values
-            first = 0
-            while first < len(lengths):
-                last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + (1 << 18), "right")))
-                own = codes[(ends[first - 1] if first else 0) : ends[last - 1]]
-                some = lengths[first:last].astype(np.int64)
+            for first, last, own, some in _parts(block, row):
                 begin = np.cumsum(some) - some
                 score = Chains(model, emit[own], some).log_likelihood / np.log(10)
                 columns = [ids.slice(first, last - first), held.slice(first, last - first), pa.array(some), pa.array(np.add.reduceat(known[own].astype(np.int64), begin)), pa.array(np.full(len(some), totals["n"], np.int64)), pa.array(np.add.reduceat(log_unigram[own], begin)), pa.array(score)]
                 out.append(pa.table(columns, names=names))
-                first = last
         return pa.concat_tables(out) if out else pa.table({k: [] for k in names})
 
     return group
 
 
-def lm_scores(docs: DataFrame, states: int = STATES, sample: int = SAMPLE) -> DataFrame:
+def _vocabulary(rows: DataFrame, states: int) -> DataFrame:
+    """(word, c, shares, side) of expected counts (word, e0, ...): side is null but for the side rows, c and shares for those."""
+    e = [f"e{k}" for k in range(states)]
+    rows = rows.groupBy("word").agg(*(F.sum(x).alias(x) for x in e))
+    # Shares of the states in 255ths, rounded along their sum so that they add up to 255.
+    total = sum((F.col(x) for x in e[1:]), F.col(e[0]))
+    upto = [F.lit(0)] + [F.round(255.0 * sum((F.col(x) for x in e[1 : k + 1]), F.col(e[0])) / F.col("total")).cast("long") for k in range(states)]
+    shares = sum((F.shiftleft(upto[k + 1] - upto[k], 8 * k) for k in range(1, states)), upto[1] - upto[0])
+    side = F.col("word").startswith(SIDE)
+    return rows.withColumn("total", total).select("word", F.when(~side, (F.col("total") / UNIT).cast("long")).alias("c"), F.when(~side & (F.col("total") > 0), shares).alias("shares"), F.when(side, F.array(*e)).alias("side"))
+
+
+def _totals(vocabulary: DataFrame, states: int) -> dict:
+    mass = [F.sum(F.shiftright("shares", 8 * k).bitwiseAND(F.lit(255)) * F.col("c") / 255.0).alias(f"m{k}") for k in range(states)]
+    types = [F.sum(F.shiftright("shares", 8 * k).bitwiseAND(F.lit(255)) / 255.0).alias(f"t{k}") for k in range(states)]
+    sums = vocabulary.agg(F.count("c").alias("v"), F.coalesce(F.sum("c"), F.lit(0)).alias("n"), *mass, *types).head()
+    return {"v": sums["v"], "n": sums["n"], "mass": [sums[f"m{k}"] or 0.0 for k in range(states)], "types": [sums[f"t{k}"] or 0.0 for k in range(states)]}
+
+
+def _sides(vocabulary: DataFrame, states: int) -> Model:
+    side = {r["word"][len(SIDE) :]: r["side"] for r in vocabulary.filter("side is not null").select("word", "side").collect()}
+    rows = np.array([side.get(str(k), [0] * states) for k in range(states + 1)]) / SIDE_UNIT
+    return _updated(rows[:-1], rows[-1])
+
+
+def lm_scores(docs: DataFrame, states: int = STATES, sample: int = SAMPLE, rounds: int = ROUNDS) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
+    rounds: Baum-Welch rounds over all training documents, at least one; the sample only starts them.
     score: log10 of the text's probability under the model; base_score: under the unigram model with 0.5 added to each
     count. Both learn from the documents that aren't held out. Words that those don't have count as one more word. A
     null text counts as empty, which is one end; a null doc_id is not held out; repeated rows count each time and keep
@@ -364,27 +440,27 @@ def lm_scores(docs: DataFrame, states: int = STATES, sample: int = SAMPLE) -> Da
     model, ratio = _fit_sample([bytes(r["text"]) for r in sorted(texts, key=lambda r: (r["doc_id"], bytes(r["text"])))], states, SAMPLE_ROUNDS)
 
     blocks = written(docs.mapInArrow(_encode(model, ratio, states), _block_schema(states)), "hmm-blocks")
-    sides = ("pairs", "start")
-    summed = {s: blocks.select(F.posexplode(s).alias("k", "x")).groupBy("k").agg(F.sum("x").alias("x")).collect() for s in sides}
-    pairs, start = (np.array([r["x"] for r in sorted(summed[s], key=lambda r: r["k"])]) for s in sides)
+    summed = {s: blocks.select(F.posexplode(s).alias("k", "x")).groupBy("k").agg(F.sum("x").alias("x")).collect() for s in ("pairs", "start")}
+    pairs, start = (np.array([r["x"] for r in sorted(summed[s], key=lambda r: r["k"])]) for s in ("pairs", "start"))
     if len(start):
         model = _updated(pairs.reshape(states, states), start)
 
     e = [f"e{k}" for k in range(states)]
     rows = blocks.select(F.inline(F.arrays_zip("words", *e))).toDF("word", *e)
-    rows = rows.filter(" + ".join(e) + " > 0").groupBy("word").agg(*(F.sum(x).alias(x) for x in e))
-    # Shares of the states in 255ths, rounded along their sum so that they add up to 255.
-    total = sum((F.col(x) for x in e[1:]), F.col(e[0]))
-    upto = [F.lit(0)] + [F.round(255.0 * sum((F.col(x) for x in e[1 : k + 1]), F.col(e[0])) / F.col("total")).cast("long") for k in range(states)]
-    vocabulary = rows.withColumn("total", total).select("word", (F.col("total") / UNIT).cast("long").alias("c"), sum((F.shiftleft(upto[k + 1] - upto[k], 8 * k) for k in range(1, states)), upto[1] - upto[0]).alias("shares"))
-    vocabulary = written(vocabulary, "hmm-vocabulary")
-    mass = [F.sum(F.shiftright("shares", 8 * k).bitwiseAND(F.lit(255)) * F.col("c") / 255.0).alias(f"m{k}") for k in range(states)]
-    types = [F.sum(F.shiftright("shares", 8 * k).bitwiseAND(F.lit(255)) / 255.0).alias(f"t{k}") for k in range(states)]
-    sums = vocabulary.agg(F.count("*").alias("v"), F.coalesce(F.sum("c"), F.lit(0)).alias("n"), *mass, *types).head()
-    totals = {"v": sums["v"], "n": sums["n"], "mass": [sums[f"m{k}"] or 0.0 for k in range(states)], "types": [sums[f"t{k}"] or 0.0 for k in range(states)]}
+    vocabulary = written(_vocabulary(rows.filter(" + ".join(e) + " > 0"), states), "hmm-vocabulary-1")
+    totals = _totals(vocabulary, states)
 
     keys = blocks.select(F.col("block").alias("of_block"), F.posexplode("words").alias("pos", "word"))
-    dictionary = keys.join(vocabulary, "word", "left").select("of_block", "pos", F.coalesce("c", F.lit(0)).alias("c"), F.coalesce("shares", F.lit(0)).alias("shares"))
-    coded = blocks.select("block", "ids", "lengths", "held", "codes")
+    coded = blocks.select("block", "ids", "lengths", "held", "codes").groupBy("block")
+
+    def dictionary(*more: str):
+        found = keys.join(vocabulary.filter("side is null"), "word", "left")
+        return found.select("of_block", "pos", *more, F.coalesce("c", F.lit(0)).alias("c"), F.coalesce("shares", F.lit(0)).alias("shares")).groupBy("of_block")
+
+    for k in range(2, rounds + 1):
+        counted = coded.cogroup(dictionary("word")).applyInArrow(_expect(model, totals, states), "word string, " + ", ".join(f"{x} long" for x in e))
+        vocabulary = written(_vocabulary(counted, states), f"hmm-vocabulary-{k}")
+        model, totals = _sides(vocabulary, states), _totals(vocabulary, states)
+        spark.sparkContext._jvm.System.gc()  # the files of the rounds' exchanges go with their last references
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return coded.groupBy("block").cogroup(dictionary.groupBy("of_block")).applyInArrow(_score(model, totals, states), schema)
+    return coded.cogroup(dictionary()).applyInArrow(_score(model, totals, states), schema)

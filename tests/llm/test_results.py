@@ -212,6 +212,35 @@ def test_model_beats_the_unigram_on_held_out_documents(spark, sf_dir):
     assert s[0] > 0.98 * s[1]
 
 
+def test_rounds_run_over_all_training_documents(spark, sf_dir):
+    """The likelihood of the training documents grows with the rounds, of which there are several by default."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    got = {}
+    for rounds in (1, 2, 4):
+        got[rounds] = hmm.lm_scores(docs, sample=20, rounds=rounds).filter("not held_out").agg(F.sum("score")).head()[0]
+    assert got[1] < got[2] < got[4]
+    default = hmm.lm_scores(docs, sample=20).filter("not held_out").agg(F.sum("score")).head()[0]
+    assert hmm.ROUNDS > 1 and default > got[1]
+
+
+def test_expected_counts_of_a_block_against_chains_over_its_texts():
+    rng, k = np.random.default_rng(2), 3
+    model = hmm.Model(rng.dirichlet(np.ones(k), k), rng.dirichlet(np.ones(k)))
+    counts, shares = np.array([4, 6, 2, 0]), np.array([255, 100 | 155 << 8, 255 << 16, 0])
+    totals = {"n": 12, "v": 3, "mass": [4 + 6 * 100 / 255, 6 * 155 / 255, 2.0], "types": [1 + 100 / 255, 155 / 255, 1.0]}
+    codes, lengths, held = np.array([1, 1, 0, 3, 0, 1, 2, 0], np.int32), np.array([3, 2, 3]), [False, True, False]
+    block = pa.table({"lengths": pa.array([lengths], pa.list_(pa.int32())), "held": [held], "codes": pa.array([hmm._packed(codes)], pa.binary())})
+    order = [2, 0, 3, 1]
+    dictionary = pa.table({"pos": order, "word": [f"w{i}" for i in order], "c": counts[order], "shares": shares[order]})
+    got = {r["word"]: [r[f"e{i}"] for i in range(k)] for r in hmm._expect(model, totals, k)(block, dictionary).to_pylist()}
+    own = np.array([1, 1, 0, 1, 2, 0])
+    gamma, pairs, start = hmm.Chains(model, hmm._emissions(counts, shares, totals, k)[0][own], np.array([3, 3])).expected()
+    for w in range(3):
+        assert np.allclose(np.array(got.pop(f"w{w}")) / hmm.UNIT, gamma[own == w].sum(axis=0), atol=1 / hmm.UNIT)
+    assert np.allclose(np.array([got.pop(f"{hmm.SIDE}{i}") for i in range(k)]) / hmm.SIDE_UNIT, pairs, atol=1e-5)
+    assert np.allclose(np.array(got.pop(f"{hmm.SIDE}{k}")) / hmm.SIDE_UNIT, start, atol=1e-5) and not got
+
+
 def test_emissions_add_up_to_one():
     counts, shares = np.array([5, 3, 1]), np.array([255, 255 << 8, 100 | 155 << 8])
     totals = {"n": 9, "v": 3, "mass": [5 + 100 / 255, 3 + 155 / 255], "types": [1 + 100 / 255, 1 + 155 / 255]}
