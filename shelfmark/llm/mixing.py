@@ -2,9 +2,9 @@
 
 Each source is a tape of its documents' characters, cut into blocks of equal length. Block j (from 0) of a source with
 weight w is released at slot floor(j / w) and due by slot ceil((j + 1) / w); at each slot the released block with the
-earliest deadline goes out. Weights are multiples of 1 / PERIOD, so the schedule repeats after PERIOD slots and at
-every slot each source is less than one block away from its share. One period is solved on the driver, and the slot of
-any block follows from the table by arithmetic: no task ever walks through the whole schedule.
+earliest deadline goes out. Weights are exact ratios of integers, so at every slot each source is less than one block
+away from its target, however long the mixture is. The driver walks through the schedule once, block by block, and
+keeps a few numbers for each block of BLOCK_CHARS characters; rows find their block's slot by a join.
 
 When a source runs out, the others go on with their weights scaled up: the schedule is a sequence of phases, of which
 the first holds the targets exactly, and every document goes out once.
@@ -14,8 +14,11 @@ from __future__ import annotations
 
 import heapq
 import math
+from array import array
 from fractions import Fraction
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +26,7 @@ from .common import written
 
 #: Characters of a block.
 BLOCK_CHARS = 1 << 16
-#: Slots after which a schedule repeats; weights are rounded to multiples of 1 / PERIOD.
+#: Slots of a period, for weights that are rounded to multiples of 1 / PERIOD.
 PERIOD = 1000
 #: Sources that a mixture may have: their weights and phases are handled on the driver.
 MOST_SOURCES = 1000
@@ -70,31 +73,57 @@ def schedule(slots: dict[str, int]) -> list[tuple[int, str, int]]:
     return out
 
 
-def phases(blocks: dict[str, int], weights: dict[str, float], period: int = PERIOD) -> list[dict]:
+def exact(weights: dict[str, float]) -> dict[str, int]:
+    """Integers in the ratio of the weights, each taken as the decimal number or fraction that it is written as."""
+    read = {s: Fraction(str(w)) for s, w in weights.items()}
+    unit = math.lcm(*(f.denominator for f in read.values()))
+    whole = {s: f.numerator * (unit // f.denominator) for s, f in read.items()}
+    common = math.gcd(*whole.values()) or 1
+    return {s: n // common for s, n in whole.items()}
+
+
+def phases(blocks: dict[str, int], weights: dict[str, float], period: int | None = None) -> list[dict]:
     """The phases of a mixture: each ends when one of its sources has no more blocks.
 
-    Of each: its first slot, its length in slots, and for each source its slots in a period and blocks sent before.
+    Of each: its first slot, its length in slots, its sources' weights as integers, their blocks sent before, and its
+    plan: the source of each slot (its place in `names`) and the release and deadline of the block, counted from the
+    first slot. Weights are exact, or multiples of 1 / period where one is given.
     """
     left = {s: n for s, n in blocks.items() if n > 0}
     sent = dict.fromkeys(left, 0)
+    whole = exact({s: weights[s] for s in left}) if left and period is None else {}
     out, begin = [], 0
     while left:
-        slots = parts({s: weights[s] for s in left}, period)
-        length = sum(slots.values())
-        # The slot after a source's last block: the blocks before it are whole periods and a rest.
-        plan = schedule(slots)
-        place = {(s, j): t for t, s, j in plan}
-        ends = {s: (n - 1) // slots[s] * length + place[s, (n - 1) % slots[s]] + 1 for s, n in left.items()}
-        size = min(ends.values())
-        out.append({"begin": begin, "size": size, "slots": slots, "plan": plan, "sent": dict(sent)})
-        whole, rest = divmod(size, length)
-        for s in list(left):
-            gone = whole * slots[s] + sum(1 for t, x, _ in plan[:rest] if x == s)
-            sent[s] += gone
-            left[s] -= gone
-            if left[s] <= 0:
+        slots = parts({s: weights[s] for s in left}, period) if period is not None else {s: whole[s] for s in left}
+        total, names = sum(slots.values()), sorted(left)
+        of, release, due = array("i"), array("q"), array("q")
+        phase = {"begin": begin, "slots": slots, "sent": dict(sent), "names": names, "plan": (of, release, due)}
+        # Of each source its next block only: as long as it isn't released, by its release, then by its deadline.
+        gone = [0] * len(names)
+        coming = [(0, k) for k in range(len(names))]
+        waiting: list[tuple[int, int, int]] = []
+        slot, ended = 0, False
+        while not ended:
+            while coming and coming[0][0] <= slot:
+                released, k = heapq.heappop(coming)
+                heapq.heappush(waiting, (-(-(gone[k] + 1) * total // slots[names[k]]), k, released))
+            deadline, k, released = heapq.heappop(waiting)
+            if deadline <= slot:
+                raise AssertionError("a block missed its deadline")
+            of.append(k)
+            release.append(released)
+            due.append(deadline)
+            gone[k] += 1
+            slot += 1
+            heapq.heappush(coming, (gone[k] * total // slots[names[k]], k))
+            ended = gone[k] == left[names[k]]
+        for s, n in zip(names, gone, strict=True):
+            sent[s] += n
+            left[s] -= n
+            if not left[s]:
                 del left[s]
-        begin += size
+        out.append(phase | {"size": slot})
+        begin += slot
     return out
 
 
@@ -103,11 +132,11 @@ def flattened(chars: dict[str, int], exponent: float = FLATTEN) -> dict[str, flo
     return {s: max(n, 1) ** exponent for s, n in chars.items()}
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_chars: int = BLOCK_CHARS, period: int = PERIOD) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_chars: int = BLOCK_CHARS, period: int | None = None) -> DataFrame:
     """One row per row of docs (doc_id, source, text): doc_id, source, n_chars, block, slot, release, deadline, phase, seq.
 
     weights: target of each source; by default the sources' sizes to the power FLATTEN. Sources without a target get
-    the smallest one. A null source is a source named "". Rows are laid on their source's tape in the order of a hash
+    the smallest one. Targets hold exactly, or rounded to multiples of 1 / period where one is given. A null source is a source named "". Rows are laid on their source's tape in the order of a hash
     of doc_id and, for equal ones, of doc_id and length; a row belongs to the block in which it starts, and a null or
     empty text counts as one character. slot: when that block goes out; release and deadline: its window; phase: 0
     while no source has run out; seq: the row's place within its block. (slot, seq) orders the mixture; rows that are
@@ -143,24 +172,25 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_chars: i
     placed = placed.join(ahead, ["source", "bucket"])
     placed = placed.withColumn("start", F.col("ahead") + F.col("inside")).withColumn("block", F.floor(F.col("start") / block_chars))
 
-    begun, table = [], []
+    names = sorted(totals)
+    place = {s: k for k, s in enumerate(names)}
+    schema = pa.schema([("of", pa.int32()), ("block", pa.int64()), ("slot", pa.int64()), ("release", pa.int64()), ("deadline", pa.int64()), ("phase", pa.int32())])
+    tables = []
     for k, p in enumerate(plan):
-        nxt = plan[k + 1]["sent"] if k + 1 < len(plan) else {}
-        whole = sum(p["slots"].values())
-        for s, a in p["slots"].items():
-            last = nxt.get(s, -(-totals[s] // block_chars))
-            begun.append((s, k, p["sent"][s], last, p["begin"], a, whole))
-        table += [(s, k, j, t) for t, s, j in p["plan"]]
-    runs = spark.createDataFrame(begun, "source string, phase int, first long, last long, begin long, a long, period long")
-    slots = spark.createDataFrame(table, "source string, phase int, place long, at long")
-    out = placed.join(F.broadcast(runs), (placed["source"] == runs["source"]) & (F.col("block") >= F.col("first")) & (F.col("block") < F.col("last"))).drop(runs["source"])
-    j = F.col("block") - F.col("first")
-    out = out.withColumn("turn", F.floor(j / F.col("a"))).withColumn("place", j - F.col("turn") * F.col("a"))
-    out = out.join(F.broadcast(slots), ["source", "phase", "place"])
-    slot = F.col("begin") + F.col("turn") * F.col("period") + F.col("at")
-    release = F.col("begin") + F.expr("(block - first) * period div a")
-    deadline = F.col("begin") + F.expr("((block - first + 1) * period + a - 1) div a")
-    return out.select("doc_id", "source", "n_chars", "block", slot.alias("slot"), release.alias("release"), deadline.alias("deadline"), "phase", (F.col("start") - F.col("block") * block_chars).alias("seq"))
+        of, release, due = (np.frombuffer(x, x.typecode) for x in p["plan"])
+        # The block of a slot: the source's blocks before the phase and, in the phase, before the slot.
+        order = np.argsort(of, kind="stable")
+        counts = np.bincount(of, minlength=len(p["names"]))
+        block = np.empty(len(of), np.int64)
+        block[order] = np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)
+        block += np.array([p["sent"][s] for s in p["names"]], np.int64)[of]
+        source = np.array([place[s] for s in p["names"]], np.int32)[of]
+        slot = p["begin"] + np.arange(len(of))
+        tables.append(pa.table([source, block, slot, p["begin"] + release, p["begin"] + due, np.full(len(of), k, np.int32)], schema=schema))
+    slots = written(spark.createDataFrame(pa.concat_tables(tables) if tables else schema.empty_table()), "mix-slots")
+    numbers = spark.createDataFrame(list(enumerate(names)), "of int, source string")
+    out = placed.join(F.broadcast(numbers), "source").join(slots, ["of", "block"])
+    return out.select("doc_id", "source", "n_chars", "block", "slot", "release", "deadline", "phase", (F.col("start") - F.col("block") * block_chars).alias("seq"))
 
 
 def share_error(slots: list[str], weights: dict[str, Fraction]) -> Fraction:

@@ -272,6 +272,31 @@ def test_schedules():
         assert mixing.share_error([s for _, s, _ in plan] * 2, {s: Fraction(a, 200) for s, a in slots.items()}) < 1
 
 
+def test_targets_hold_exactly_over_many_periods():
+    """Against the targets as given: odd ones, default ones, and one below a thousandth."""
+    sizes = {f"src{k:02}": 1000 + 37 * k * k for k in range(15)}
+    for weights in ({"a": 0.6001, "b": 0.39985, "c": 0.00005}, {"a": 54.57, "b": 945.43}, mixing.flattened(sizes)):
+        least = min(weights.values())
+        n = {s: 5 + int(40_000 * w / sum(weights.values())) + 2 * (w == least) for s, w in weights.items()}
+        phase = mixing.phases(n, weights)[0]
+        slots = [phase["names"][k] for k in phase["plan"][0]]
+        whole = sum(Fraction(str(w)) for w in weights.values())
+        assert len(slots) == phase["size"] > 30_000
+        assert mixing.share_error(slots, {s: Fraction(str(w)) / whole for s, w in weights.items()}) < 1
+
+
+def test_mixture_holds_unrounded_targets(spark, docs):
+    weights = {"src0": 0.61803, "src1": 0.38182, "src2": 0.00015}
+    some = docs.filter("source in ('src0', 'src1', 'src2')")
+    got = mixing.mix(some, weights, block_chars=7).select("source", "slot", "phase", "release", "deadline").distinct().collect()
+    assert all(r["release"] <= r["slot"] < r["deadline"] for r in got)
+    total = {r["source"]: r["n"] for r in some.groupBy("source").agg(F.sum(F.greatest(F.length("text"), F.lit(1))).alias("n")).collect()}
+    phase = mixing.phases({s: -(-n // 7) for s, n in total.items()}, weights)[0]
+    first = {(r["source"], r["slot"]) for r in got if r["phase"] == 0}
+    assert all(phase["names"][phase["plan"][0][t]] == s for s, t in first)
+    assert mixing.share_error([phase["names"][k] for k in phase["plan"][0]], {s: Fraction(str(w)) for s, w in weights.items()}) < 1
+
+
 def test_mixture(spark, docs):
     weights = {"src0": 0.5, "src1": 0.3, "src2": 0.2}
     some = docs.filter("source in ('src0', 'src1', 'src2')")
