@@ -1,8 +1,9 @@
 """Secret scans: patterns for assignments, access keys and hex strings, and structural confirmation of encoded keys.
 
-Runs of base64 or hex characters are candidates only: they are decoded, and reported if the bytes parse as a private
-key (nested DER lengths that fit exactly, or the length-prefixed fields of an OpenSSH key) or the text as a signed
-token (a JSON header that names an algorithm, a JSON payload, and a signature). Patterns run over UTF-8 bytes; all
+Runs of base64 or hex characters, also over several lines, are candidates only: all are decoded, from every start that
+a key can have in them, and reported if the bytes hold a private key (nested DER lengths that fit exactly, or the
+length-prefixed fields of an OpenSSH key) or an encoding of one, or the text a signed token (a JSON header that names
+an algorithm, a JSON payload, and a signature). Patterns run over UTF-8 bytes; all
 classes are ASCII, so positions are turned into code points by counting the bytes that begin one.
 """
 
@@ -30,9 +31,19 @@ _NAMES = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 _ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 _HEX = re.compile(rb"[0-9a-f]{24,}")  # the maximal runs of 24 and more: a run is met at its first character
 _MARK = re.compile(rb"-----(BEGIN|END) ([A-Z0-9 ]{0,40})-----")
-_RUN = re.compile(rb"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}={0,2}")
-_TOKEN = re.compile(rb"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
-_HEX_RUN = re.compile(rb"[0-9A-Fa-f]+")
+#: A line's end, written out or escaped as in a JSON string, with what may stand around it.
+_BREAK = rb"[ \t]*(?:\r?\n|(?:\\r)?\\n)[ \t]*"
+_RUN = re.compile(rb"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}(?:" + _BREAK + rb"[A-Za-z0-9+/_-]+)*={0,2}")
+_HEX_RUN = re.compile(rb"[0-9A-Fa-f]{16,}(?:" + _BREAK + rb"[0-9A-Fa-f]+)*")
+_BREAKS = re.compile(_BREAK)
+#: A place from which three parts of a token may be read; parts of names before the first belong to the run.
+_TOKEN = re.compile(rb"(?<![A-Za-z0-9_-])(?=([A-Za-z0-9_-]{16,})\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*))")
+#: Where a JSON object begins in base64: a brace, or at the start of the run white space too.
+_BRACE = re.compile(rb"e[w-z]|\A[CDI]")
+#: The first bytes of a key: a SEQUENCE whose first element is a number or a SEQUENCE.
+_KEY = re.compile(rb"0(?:[\x18-\x7f]|\x81.|\x82..|\x83...)[\x020]|openssh-key-v1\0", re.DOTALL)
+#: Encodings of encodings are followed so deep.
+NESTED = 3
 
 
 def der_elements(data: bytes, depth: int = 0) -> list[tuple[int, bytes]] | None:
@@ -83,7 +94,12 @@ def private_key(data: bytes) -> str | None:
 
 
 def _openssh(data: bytes) -> bool:
-    """cipher, kdf and its options, the number of keys, that many public keys and the private part, each with its length."""
+    """Whether the fields of an OpenSSH key fill data."""
+    return _openssh_end(data) == len(data)
+
+
+def _openssh_end(data: bytes) -> int:
+    """The end of cipher, kdf and its options, the number of keys, that many public keys and the private part; -1 if they don't fit."""
 
     def field(at: int) -> int:
         end = at + 4 + int.from_bytes(data[at : at + 4], "big") if at + 4 <= len(data) else -1
@@ -93,15 +109,15 @@ def _openssh(data: bytes) -> bool:
     for _ in range(3):
         at = field(at)
         if at < 0:
-            return False
+            return -1
     number, at = int.from_bytes(data[at : at + 4], "big"), at + 4
     if not 1 <= number <= 16:
-        return False
+        return -1
     for _ in range(number + 1):
         at = field(at)
         if at < 0:
-            return False
-    return at == len(data)
+            return -1
+    return at
 
 
 def decoded(run: bytes) -> bytes | None:
@@ -138,8 +154,77 @@ def base_spans(data: bytes, low: bytes) -> list[tuple[str, int, int]]:
     return out
 
 
-def confirmed_spans(data: bytes) -> list[tuple[str, int, int]]:
-    """Spans in bytes of keys and tokens whose decoded structure holds."""
+def _keys(data: bytes) -> list[tuple[int, int]]:
+    """Start and end of the private keys in data, wherever they begin."""
+    out, at = [], 0
+    while m := _KEY.search(data, at):
+        at = m.start()
+        if data[at] == 0x30:
+            n = data[at + 1]
+            head = 2 + (n & 0x7F if n >= 0x80 else 0)
+            end = at + head + (int.from_bytes(data[at + 2 : at + head], "big") if n >= 0x80 else n)
+        else:
+            size = _openssh_end(data[at + 15 :])
+            end = at + 15 + size if size >= 0 else len(data) + 1
+        if end <= len(data) and private_key(data[at:end]):
+            out.append((at, end))
+            at = end
+        else:
+            at += 1
+    return out
+
+
+def _found(raw: bytes, nested: int) -> list[tuple[str, int, int]]:
+    """Keys, and encodings of keys and tokens, in decoded bytes."""
+    out = [("key", a, b) for a, b in _keys(raw)]
+    return out or (confirmed_spans(raw, nested - 1) if nested > 0 else [])
+
+
+def _run_spans(run: bytes, nested: int) -> list[tuple[str, int, int]]:
+    """Spans in a run without line ends: base64 is read from each of four starts, which meets every place in it."""
+    body = run.rstrip(b"=").replace(b"-", b"+").replace(b"_", b"/")
+    out: list[tuple[str, int, int]] = []
+    for k in range(4):
+        part = body[k:]
+        part = part[: len(part) - (len(part) % 4 == 1)]
+        raw = binascii.a2b_base64(part + b"=" * (-len(part) % 4))
+        for kind, a, b in _found(raw, nested):
+            end = k + -(-b * 4 // 3)
+            out.append((kind, k + a // 3 * 4 + a % 3, len(run) if end >= len(body) else end))
+    return out
+
+
+def _hex_spans(run: bytes, nested: int) -> list[tuple[str, int, int]]:
+    out = []
+    for k in range(2):
+        raw = bytes.fromhex(run[k : len(run) - (len(run) - k) % 2].decode())
+        out += [(kind, k + 2 * a, k + 2 * b) for kind, a, b in _found(raw, nested)]
+    return out
+
+
+def _runs(data: bytes, pattern: re.Pattern, spans, nested: int) -> list[tuple[str, int, int]]:
+    """What spans finds in the runs of a pattern, at its places in data."""
+    out = []
+    for m in pattern.finditer(data):
+        run = m[0]
+        gaps = [g.span() for g in _BREAKS.finditer(run)]
+        whole = _BREAKS.sub(b"", run) if gaps else run
+        if len(whole) < 34:
+            continue
+
+        def place(i: int) -> int:
+            for a, b in gaps:  # noqa: B023
+                if i < a:
+                    break
+                i += b - a
+            return m.start() + i  # noqa: B023
+
+        out += [(kind, place(a), place(b - 1) + 1) for kind, a, b in spans(whole, nested)]
+    return out
+
+
+def confirmed_spans(data: bytes, nested: int = NESTED) -> list[tuple[str, int, int]]:
+    """Spans in bytes of keys and tokens whose decoded structure holds; where some overlap, the first and longest."""
     out: list[tuple[str, int, int]] = []
     if b"-----BEGIN " in data:
         begun = None
@@ -147,23 +232,24 @@ def confirmed_spans(data: bytes) -> list[tuple[str, int, int]]:
             if m[1] == b"BEGIN":
                 begun = m
             elif begun is not None and begun[2] == m[2]:
-                body = b"".join(x for x in data[begun.end() : m.start()].split() if b":" not in x)
+                inside = data[begun.end() : m.start()]
+                text = inside.replace(b"\\r", b" ").replace(b"\\n", b" ").replace(b"\\/", b"/")
+                body = b"".join(x for x in text.split() if b":" not in x and b"," not in x)
                 if m[2].endswith(b"PRIVATE KEY") and (raw := decoded(body)) is not None and (private_key(raw) or b"ENCRYPTED" in data[begun.start() : m.start()] and len(raw) >= 64):
                     out.append(("key", begun.start(), m.end()))
                 begun = None
-    if b"eyJ" in data:
-        out += [("token", *m.span()) for m in _TOKEN.finditer(data) if signed_token(m[0])]
-    for m in _RUN.finditer(data):
-        run = m[0]
-        # Most encodings of keys begin with a SEQUENCE or a name; others aren't worth decoding.
-        if _HEX_RUN.fullmatch(run):
-            if len(run) % 2 == 0 and private_key(bytes.fromhex(run.decode())):
-                out.append(("key", *m.span()))
-        elif run[:1] == b"M" or run[:2] == b"b3":
-            raw = decoded(run)
-            if raw is not None and private_key(raw):
-                out.append(("key", *m.span()))
-    return out
+    for m in _TOKEN.finditer(data):
+        for e in _BRACE.finditer(m[1]):
+            if signed_token(b".".join([m[1][e.start() :], m[2], m[3]])):
+                out.append(("token", m.start(1) + e.start(), m.end(3)))
+                break
+    out += _runs(data, _RUN, _run_spans, nested)
+    out += _runs(data, _HEX_RUN, _hex_spans, nested)
+    kept: list[tuple[str, int, int]] = []
+    for span in sorted(out, key=lambda x: (x[1], -x[2], x[0])):
+        if not kept or span[1] >= kept[-1][2]:
+            kept.append(span)
+    return kept
 
 
 def _joined(spans: list[tuple[str, int, int]]) -> str:

@@ -129,6 +129,33 @@ def test_structures_are_confirmed(spark):
     assert got == {1: (1, 0), 2: (0, 0), 3: (0, 1), 4: (0, 0), 5: (1, 0), 6: (1, 0), 7: (1, 0), 8: (0, 0), 9: (0, 0)}
 
 
+def test_encodings_are_found_wherever_they_begin():
+    import base64
+    import json
+
+    number = lambda k: der(2, bytes([1 + k]) * 64)
+    rsa = der(0x30, der(2, b"\0"), *(number(k) for k in range(8)))
+    field = lambda b: len(b).to_bytes(4, "big") + b
+    ssh = b"openssh-key-v1\0" + field(b"none") + field(b"none") + field(b"") + (1).to_bytes(4, "big") + field(b"k" * 51) + field(b"p" * 90)
+    b64 = base64.b64encode
+    url = lambda b: base64.urlsafe_b64encode(b).rstrip(b"=")
+    pem = b"-----BEGIN RSA PRIVATE KEY-----\n" + b"\n".join(re.findall(b".{1,64}", b64(rsa))) + b"\n-----END RSA PRIVATE KEY-----"
+    token = b".".join([url(b'{ "alg": "HS256"}'), url(b'{"sub": 1}'), url(b"s" * 32)])
+    plain = b".".join([url(json.dumps({"alg": "HS256"}).encode()), url(b'{"sub": 1}'), url(b"s" * 32)])
+    wrapped = b"\n".join(re.findall(b".{1,64}", b64(rsa)))
+    cases = [
+        (b64(pem), "key"), (pem.hex().encode(), "key"), (b64(plain), "token"), (b64(b64(rsa)), "key"), (b"0x" + rsa.hex().encode(), "key"),
+        (b"key-" + b64(rsa), "key"), (b"secret_" + b64(rsa), "key"), (b"path/to/" + b64(rsa), "key"), (b"a/b" + b64(ssh), "key"), (wrapped, "key"),
+        (wrapped.replace(b"\n", b"\r\n"), "key"), (wrapped.replace(b"\n", b"\\n"), "key"), (pem.replace(b"\n", b"\\n"), "key"), (b"\n".join(re.findall(b".{1,32}", rsa.hex().encode())), "key"),
+        (token, "token"), (b"token_" + token, "token"), (b"some.host-name-of-length." + plain, "token"),
+    ]
+    for text, kind in cases:
+        assert [k for k, _, _ in secrets.confirmed_spans(b"see " + text + b" there")] == [kind], text
+    assert secrets.confirmed_spans(b"see key-" + b64(rsa) + b" there") == [("key", 8, 8 + len(b64(rsa)))]
+    for text in (b64(rsa)[:-8], b"A" * 500, b64(bytes(range(256)) * 4), pem.replace(b"PRIVATE", b"PUBLIC")[:-300], b"0" * 400):
+        assert secrets.confirmed_spans(text) == [], text
+
+
 # 3: the field
 
 
