@@ -49,15 +49,15 @@ _PAGE = string.Template(
 )
 
 
-def html_page(title: str, facts: DataFrame, items: DataFrame, most_files: int = 100_000) -> str:
-    """A page over at most `most_files` files, the first by path (a page is for reading; tables hold the whole)."""
+def html_page(title: str, facts: DataFrame, items: DataFrame) -> str:
+    """A page over all files and all items of the history; rows are streamed to the driver, and the page is built there."""
     esc = lambda v: html.escape("" if v is None else str(v), quote=True)
     by: dict[str, list[str]] = {}
-    for r in facts.orderBy("path").limit(most_files).toLocalIterator():
+    for r in facts.orderBy("path").toLocalIterator():
         by.setdefault(r["path"].split("/", 1)[0], []).append(f"<li title='{esc(r['original'])} {esc(r['human_size'])}'>{esc(r['path'])}</li>")
     tree = "".join(f"<details><summary>{esc(c)} <b>{len(x)}</b></summary><ul>{''.join(x)}</ul></details>" for c, x in by.items()) or "<p>none</p>"
     runs: dict[tuple, list[str]] = {}
-    for r in items.orderBy(F.desc("run"), "ord").limit(most_files).toLocalIterator():
+    for r in items.orderBy(F.desc("run"), "ord").toLocalIterator():
         runs.setdefault((r["run"], r["run_at"]), []).append("<tr>" + "".join(f"<td>{esc(r[c])}</td>" for c in ("status", "source", "destination", "rename", "reason")) + "</tr>")
     history = "".join(f"<details{' open' if k == 0 else ''}><summary>{esc(at)} <b>{len(x)}</b></summary><table>{''.join(x)}</table></details>" for k, ((_, at), x) in enumerate(runs.items())) or "<p>none</p>"
     return _PAGE.substitute(title=esc(title), runs=len(runs), changes=sum(map(len, runs.values())), files=sum(map(len, by.values())), tree=tree, history=history)

@@ -124,3 +124,11 @@ def test_report_and_sync(spark):
     left = spark.createDataFrame([("a", "1"), ("b", "2"), ("__pycache__/x", "3")], "path string, digest string")
     right = spark.createDataFrame([("a", "1"), ("b", "other"), ("old", "4"), ("README.md", "5")], "path string, digest string")
     assert rows(sync.tree_changes(left, right)) == [("b", "update"), ("old", "remove")]
+
+
+def test_the_page_holds_all_files_and_items(spark):
+    n = 100_001
+    facts = spark.range(n).selectExpr("format_string('d%d/f%06d', id % 3, id) as path", "'o' as original", "'1 B' as human_size")
+    items = spark.range(n).selectExpr("format_string('%06d', id) as run", "'t' as run_at", "0 as ord", "'s' as status", "'a' as source", "'b' as destination", "'' as rename", "'' as reason")
+    page = report.html_page("Report", facts, items)
+    assert f"<p>{n} runs, {n} changes, {n} files</p>" in page and "d2/f099998" in page and page.count("<li ") == n
