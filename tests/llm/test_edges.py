@@ -80,3 +80,13 @@ def test_url_edges(spark):
     assert url_filters.filter_urls(captures, entries.limit(0)).filter("verdict is not null").count() == 0
     assert url_filters.filter_urls(captures.limit(0), entries).count() == 0
     assert rows(url_filters.intervals(entries)) == [("example.com", "block", 1, 8), ("example.com/x", "allow", 3, None)]
+
+
+def test_the_pipeline_drops_near_copies_between_80_and_85_percent(spark, tmp_path):
+    import corpus_pipeline as p
+
+    words = [f"w{k}" for k in range(204)]
+    changed = [f"x{k}" if k in (20, 50, 120, 170) else w for k, w in enumerate(words)]
+    # 180 of 220 shingles are shared: 81.8 %.
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(changed))], "doc_id long, text string")
+    assert [r["doc_id"] for r in p.near_duplicate_groups(spark, docs, str(tmp_path)).collect()] == [1]
