@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
 from collections.abc import Iterator
 
@@ -14,22 +15,71 @@ from pyspark.sql import functions as F
 CHUNK_BYTES = 1 << 20
 
 
+#: Removes the shuffle files of a query when it has ended; what it wrote doesn't need them.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one under the warehouse where it is unset, as in tests."""
+    """The folder that the cluster names in spark.checkpoint.dir; on a local master, one under the warehouse where it is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_llm_shared"
     return folder.rstrip("/")
 
 
 def written(df: DataFrame, name: str, *sort: str) -> DataFrame:
-    """df as a table in the shared folder: its lineage is cut, and any executor can be lost afterwards."""
+    """df as a table in the shared folder: its lineage is cut, and any executor can be lost afterwards.
+
+    The table stays until dropped() or the end of the application; the query's shuffle files go when it has ended.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/llm-{name}-{uuid.uuid4().hex[:12]}"
     if sort:
         df = df.sortWithinPartitions(*sort)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    if not _tables:
+        atexit.register(_forget)
+    _tables.append((spark, path))
+    return out
+
+
+_tables: list[tuple[SparkSession, str]] = []
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Removes written() tables that no later plan reads."""
+    for df in tables:
+        for file in df.inputFiles()[:1]:
+            for k, (spark, path) in enumerate(_tables):
+                if path.rsplit("/", 1)[-1] == file.rsplit("/", 2)[-2]:
+                    del _tables[k]
+                    _remove(spark, path)
+                    break
+
+
+def _forget() -> None:
+    """At the end of the application: what it has written and not dropped, as far as its session is still there."""
+    for spark, path in _tables:
+        try:
+            _remove(spark, path)
+        except Exception:  # noqa: BLE001 - the session has ended before
+            return
 
 
 def free_names(df: DataFrame, *names: str) -> list[str]:

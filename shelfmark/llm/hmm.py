@@ -1,18 +1,19 @@
 """A hidden Markov language model: Baum-Welch counts aggregated over partitions, and exact likelihoods by scaled
 forward recursion.
 
-A text is a sequence of words and one end. A first pass lays documents out as blocks of word numbers with a
-dictionary each, and computes expected counts of the training documents under an initial model, which is fitted on a
-bounded sample. The counts of all blocks add up, word by word, to the model's emissions, which are a table as large as
-the vocabulary and never in one place: blocks get the rows of their own words by a join. Further rounds repeat this over
-all training documents, with the emissions of the round before.
-
-Within a block, texts are cut into segments. The transfer matrices of all segments are computed side by side, chained
-along each text, and give every segment its exact start: long texts cost no more steps than short ones.
+A text is a sequence of words and one end. A first pass lays documents out as blocks: word numbers of each document, and
+the block's dictionary as one flat row for each of its words. Emissions are a table as large as the vocabulary and never
+in one place. In every round blocks get the rows of their own words by a join, compute the expected counts of their
+training documents, and the counts of all blocks add up, word by word, to the emissions of the next round. A model of a
+bounded sample, fitted in one task, only breaks the symmetry of the states before the first round.
+
+Within a block, texts are cut into segments that are worked on side by side. A long text's segments get their exact
+starts and ends from transfer matrices, so a long text costs no more steps than a short one.
 """
 
 from __future__ import annotations
 
+import gc
 import zlib
 from collections.abc import Iterator
 
@@ -22,128 +23,174 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lowered, slices, span_hashes, utf8, words, written
+from .common import dropped, lowered, slices, span_hashes, utf8, words, written
 
-#: Latent states; at most 7, since a word's shares of them are packed into one long.
+#: Latent states; at most 6, since a word's shares of all but the last are packed into one long.
 STATES = 6
-#: Training documents of the sample that the initial model is fitted on, those with the smallest hashes of doc_id.
+#: The sample: training documents with the smallest hashes of doc_id, of at most so many characters each.
 SAMPLE = 600
-#: Rounds over the sample, and over all training documents (the first of them while blocks are laid out).
-SAMPLE_ROUNDS = 30
+SAMPLE_CHARS = 50_000
+#: Rounds over the first tenth of the sample and over all of it, and random beginnings tried.
+SAMPLE_ROUNDS = (20, 10)
+BEGINNINGS = 3
+#: The most rounds over all training documents.
 ROUNDS = 3
-#: Words of a segment.
-SEGMENT = 64
+#: Further rounds stop when one adds less than this to the mean log10 likelihood of a training token.
+ENOUGH = 1e-4
+#: Words of a segment, and of the segments that are worked on together.
+SEGMENT = 1024
+TOGETHER = 1 << 18
 #: A block is closed when it has so many bytes of text or distinct words.
-BLOCK_BYTES = 24 << 20
-BLOCK_WORDS = 400_000
+BLOCK_BYTES = 16 << 20
+BLOCK_WORDS = 200_000
 #: The share of each state's emissions that follows the unigram model while the sample is fitted.
 BACKOFF = 0.1
-#: Expected counts are multiples of 1 / UNIT, and a word's shares of the states multiples of 1 / 255.
+#: Expected counts are multiples of 1 / UNIT, a word's shares of the states multiples of 1 / SHARES.
 UNIT = 256
-#: Expected transitions and starts are multiples of 1 / SIDE_UNIT.
+SHARES = (1 << 12) - 1
+#: Expected transitions, starts and logarithms are multiples of 1 / SIDE_UNIT.
 SIDE_UNIT = 1 << 20
 #: The end of a text in the dictionary; no word is a line feed.
 END = b"\n"
-#: Names, in tables of expected counts, of the rows with a state's transitions and of the row with the starts.
-SIDE = "\n\n"
+#: Rows of a record batch of a dictionary.
+BATCH_ROWS = 1 << 14
 
 
 class Model:
-    """Transitions, the distribution of the state before the first word, and the mass of each state."""
+    """Transitions, and the distribution of the state before the first word."""
 
     def __init__(self, trans: np.ndarray, before: np.ndarray) -> None:
         self.trans, self.before = trans, before
 
 
-def _segments(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and length of each segment, and the number of segments of each text."""
-    number = -(-lengths // SEGMENT)
-    first = np.cumsum(lengths) - lengths
-    k = np.arange(number.sum()) - np.repeat(np.cumsum(number) - number, number)
-    start = np.repeat(first, number) + k * SEGMENT
-    return start, np.minimum(SEGMENT, np.repeat(first + lengths, number) - start), number
+class Steps:
+    """Segments of a run of words, longest first, and their words step by step: at each step one word of each segment that is so long."""
 
+    def __init__(self, start: np.ndarray, size: np.ndarray) -> None:
+        steps = int(size[0]) if len(size) else 0
+        self.active = np.searchsorted(-size, -np.arange(steps), "left")
+        self.to = np.cumsum(self.active)
+        self.begin = self.to - self.active
+        step = np.repeat(np.arange(steps), self.active)
+        self.at = start[np.arange(len(step)) - np.repeat(self.begin, self.active)] + step
 
-class Chains:
-    """Forward quantities of texts, given the emissions of their words by state: exact and scaled at every word."""
 
-    def __init__(self, model: Model, emit: np.ndarray, lengths: np.ndarray) -> None:
-        self.model, self.lengths = model, lengths
-        states = len(model.before)
-        peak = emit.max(axis=1)
-        self.emit = emit / peak[:, None]
-        self.start, self.size, self.number = _segments(lengths)
-        self.order = np.argsort(-self.size, kind="stable")
-        self.steps = int(self.size.max()) if len(self.size) else 0
-        self.active = np.searchsorted(-self.size[self.order], -np.arange(self.steps), "left")
-        begin = self.start[self.order]
-        m = np.tile(np.eye(states), (len(self.order), 1, 1))
-        logs = np.zeros(len(self.order))
-        for t in range(self.steps):
-            n = self.active[t]
-            x = (m[:n].reshape(-1, states) @ model.trans).reshape(-1, states, states) * self.emit[begin[:n] + t][:, None, :]
-            s = x.sum(axis=(1, 2))
-            m[:n] = x / s[:, None, None]
-            logs[:n] += np.log(s)
-        self.matrix, seg_log = np.empty_like(m), np.empty_like(logs)
-        self.matrix[self.order], seg_log[self.order] = m, logs
-
-        # Along each text: the state before each segment, given the words before it.
+class Chains:
+    """Likelihoods and expected counts of texts, given the emissions of the dictionary's words by state."""
+
+    def __init__(self, model: Model, emit: np.ndarray, codes: np.ndarray, lengths: np.ndarray) -> None:
+        """emit: a row for each word number; codes: the texts' word numbers; lengths: at least one word each."""
+        self.model, self.codes, self.lengths = model, codes, lengths
+        self.emit = np.ascontiguousarray(emit.T)
+        first = np.cumsum(lengths) - lengths
+        self.number = -(-lengths // SEGMENT)
         self.first = np.cumsum(self.number) - self.number
-        self.by_number = np.argsort(-self.number, kind="stable")
-        self.turns = int(self.number.max()) if len(self.number) else 0
-        self.going = np.searchsorted(-self.number[self.by_number], -np.arange(self.turns), "left")
-        self.before = np.zeros((len(self.start), states))
-        v = np.tile(model.before, (len(lengths), 1))
-        log = np.zeros(len(lengths))
-        for j in range(self.turns):
-            text = self.by_number[: self.going[j]]
-            seg = self.first[text] + j
-            self.before[seg] = v[text]
-            x = np.einsum("si,sij->sj", v[text], self.matrix[seg])
-            s = x.sum(axis=1)
-            v[text] = x / s[:, None]
-            log[text] += np.log(s) + seg_log[seg]
-        ends = np.cumsum(lengths)
-        total = np.concatenate([[0.0], np.cumsum(np.log(peak))])
-        #: Natural logarithm of each text's probability.
-        self.log_likelihood = log + total[ends] - total[ends - lengths]
-
-    def expected(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The states' marginals at each word, and the sums of transitions and of the states before the first words."""
+        self.text = np.repeat(np.arange(len(lengths)), self.number)
+        nth = np.arange(len(self.text)) - self.first[self.text]
+        self.start = first[self.text] + nth * SEGMENT
+        self.size = np.minimum(SEGMENT, (first + lengths)[self.text] - self.start)
+        states = len(model.before)
+        #: The state before each segment given all words before it, and the backward vector at its end (up to a factor).
+        self.before = np.repeat(model.before[:, None], len(self.text), axis=1)
+        self.after = np.ones((states, len(self.text)))
+        if len(self.text) > len(lengths):
+            self._chain()
+        #: Natural logarithm of each text's probability; worked out by walk().
+        self.log_likelihood = np.zeros(len(lengths))
+
+    def _groups(self, which: np.ndarray) -> Iterator[np.ndarray]:
+        """The segments, longest first, in groups of about TOGETHER words."""
+        order = which[np.argsort(-self.size[which], kind="stable")]
+        total = np.cumsum(self.size[order])
+        first = 0
+        while first < len(order):
+            last = max(first + 1, int(np.searchsorted(total, (total[first - 1] if first else 0) + TOGETHER, "right")))
+            yield order[first:last]
+            first = last
+
+    def _chain(self) -> None:
+        """Starts and ends of the segments of texts that have several."""
+        states, trans = len(self.model.before), self.model.trans
+        last = self.first + self.number - 1
+        long = np.flatnonzero(self.number > 1)
+        inner = np.flatnonzero((self.number > 1)[self.text] & (np.arange(len(self.text)) != last[self.text]))
+        matrix = np.empty((states, states, len(inner)))  # [state at the end, state before, segment]
+        place = np.zeros(len(self.text), np.int64)
+        place[inner] = np.arange(len(inner))
+        for group in self._groups(inner):
+            q = len(group)
+            m = np.repeat(np.eye(states)[:, :, None], q, axis=2)
+            for t in range(SEGMENT):
+                m = (trans.T @ m.reshape(states, -1)).reshape(states, states, q)
+                m *= self.emit[:, self.codes[self.start[group] + t]][:, None, :]
+                if t % 8 == 7:
+                    m /= m.sum(axis=(0, 1))
+            matrix[:, :, place[group]] = m / m.sum(axis=(0, 1))
+        ends = last[long]
+        back = np.ones((states, len(self.text)))
+        for group in self._groups(ends):
+            steps = Steps(self.start[group], self.size[group])
+            b = np.ones((states, len(group)))
+            for t in range(len(steps.active) - 1, -1, -1):
+                n = steps.active[t]
+                x = trans @ (self.emit[:, self.codes[steps.at[steps.begin[t] : steps.to[t]]]] * b[:, :n])
+                b[:, :n] = x / x.sum(axis=0)
+            back[:, group] = b
+        for j in range(int(self.number.max()) - 1):
+            seg = self.first[long[self.number[long] > j + 1]] + j
+            v = np.einsum("jiq,iq->jq", matrix[:, :, place[seg]], self.before[:, seg])
+            self.before[:, seg + 1] = v / v.sum(axis=0)
+        for j in range(int(self.number.max()) - 2, -1, -1):
+            seg = self.first[long[self.number[long] > j + 1]] + j
+            u = back[:, seg + 1]
+            self.after[:, seg] = u
+            v = np.einsum("jiq,jq->iq", matrix[:, :, place[seg]], u)
+            back[:, seg] = v / v.sum(axis=0)
+
+    def walk(self, expect: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Fills log_likelihood; with expect, expected counts by state and word, of transitions, and of the states before the first words."""
         trans, states = self.model.trans, len(self.model.before)
-        after = np.zeros((len(self.start), states))
-        u = np.ones((len(self.lengths), states))
-        for j in range(self.turns - 1, -1, -1):
-            text = self.by_number[: self.going[j]]
-            seg = self.first[text] + j
-            after[seg] = u[text]
-            x = np.einsum("sij,sj->si", self.matrix[seg], u[text])
-            u[text] = x / x.sum(axis=1)[:, None]
-        begin = self.start[self.order]
-        alpha, prior, beta = (np.zeros((len(self.emit), states)) for _ in range(3))
-        f = self.before[self.order]
-        for t in range(self.steps):
-            n = self.active[t]
-            at = begin[:n] + t
-            prior[at] = f[:n]
-            x = (f[:n] @ trans) * self.emit[at]
-            f[:n] = x / x.sum(axis=1)[:, None]
-            alpha[at] = f[:n]
-        b = after[self.order]
-        for t in range(self.steps - 1, -1, -1):
-            # A segment joins when its own last word is reached; until then it keeps what comes after it.
-            n = self.active[t]
-            at = begin[:n] + t
-            beta[at] = b[:n]
-            x = (self.emit[at] * b[:n]) @ trans.T
-            b[:n] = x / x.sum(axis=1)[:, None]
-        gamma = alpha * beta
-        gamma /= gamma.sum(axis=1)[:, None]
-        ahead = self.emit * beta
-        pairs = ((prior / np.einsum("ti,ij,tj->t", prior, trans, ahead, optimize=True)[:, None]).T @ ahead) * trans
-        start = self.model.before * u
-        return gamma, pairs, (start / start.sum(axis=1)[:, None]).sum(axis=0)
+        forth = np.ascontiguousarray(trans.T)
+        words = self.emit.shape[1]
+        counts, pairs, begun = np.zeros((states, words)), np.zeros((states, states)), np.zeros(states)
+        for group in self._groups(np.arange(len(self.text))):
+            steps = Steps(self.start[group], self.size[group])
+            codes = self.codes[steps.at]
+            emit = self.emit[:, codes]
+            alpha, scale = np.empty_like(emit), np.empty(emit.shape[1])
+            f0 = self.before[:, group]
+            f = f0
+            for a, b in zip(steps.begin.tolist(), steps.to.tolist(), strict=True):
+                x = forth @ f[:, : b - a]
+                x *= emit[:, a:b]
+                s = x.sum(axis=0)
+                x /= s
+                scale[a:b] = s
+                alpha[:, a:b] = f = x
+            logs = np.log(scale)
+            of = self.text[group]
+            by_rank = np.bincount(np.arange(len(codes)) - np.repeat(steps.begin, steps.active), weights=logs, minlength=len(group))
+            self.log_likelihood += np.bincount(of, weights=by_rank, minlength=len(self.lengths))
+            if not expect:
+                continue
+            # Backward with the forward pass's scales: gamma is their product, with no further factor.
+            emit /= scale
+            end = steps.to[self.size[group] - 1] - steps.active[self.size[group] - 1] + np.arange(len(group))
+            back = self.after[:, group]
+            back = back / (alpha[:, end] * back).sum(axis=0)
+            for t in range(len(steps.active) - 1, -1, -1):
+                a, b = steps.begin[t], steps.to[t]
+                n = b - a
+                x = emit[:, a:b] * back[:, :n]
+                prior = alpha[:, steps.begin[t - 1] : steps.begin[t - 1] + n] if t else f0
+                pairs += prior @ x.T
+                alpha[:, a:b] *= back[:, :n]
+                back[:, :n] = trans @ x
+            for k in range(states):
+                counts[k] += np.bincount(codes, weights=alpha[k], minlength=words)
+            head = np.flatnonzero(self.first[of] == group)
+            begun += (f0 * back)[:, head].sum(axis=1)
+        return counts, pairs * trans, begun
 
 
 def _updated(pairs: np.ndarray, start: np.ndarray) -> Model:
@@ -151,45 +198,16 @@ def _updated(pairs: np.ndarray, start: np.ndarray) -> Model:
     return Model(pairs / pairs.sum(axis=1)[:, None], start / start.sum())
 
 
-def _fit_sample(texts: list[bytes], states: int, rounds: int) -> tuple[Model, dict[bytes, np.ndarray]]:
-    """A model of the sample, and P(word | state) relative to the word's overall rate, for the words of the sample."""
-    block = Block()
-    for text in texts:
-        block.add(np.frombuffer(text, np.uint8), np.array([0, len(text)]), [None], np.array([False]))
-    codes, lengths = block.codes(), np.array(block.lengths, np.int64)
-    n = len(block.number)
-    rng = np.random.default_rng(7)
-    model = Model(np.full((states, states), 0.05 / max(states - 1, 1)) + np.eye(states) * (0.95 - 0.05 / max(states - 1, 1)), np.full(states, 1 / states))
-    rate = np.bincount(codes, minlength=n) / max(len(codes), 1)
-    gamma = np.repeat(rng.dirichlet(np.full(states, 0.3), len(lengths)), lengths, axis=0)
-    ratio = np.ones((n, states))
-    for k in range(rounds + 1):
-        counts = np.stack([np.bincount(codes, weights=gamma[:, s], minlength=n) for s in range(states)], axis=1)
-        mass = counts.sum(axis=0) + 1e-9
-        ratio = ((1 - BACKOFF) * counts / mass + BACKOFF * rate[:, None]) / np.maximum(rate, 1e-12)[:, None]
-        ratio[rate == 0] = 1
-        if k == rounds or not len(codes):
-            break
-        chains = Chains(model, ratio[codes], lengths)
-        gamma, pairs, start = chains.expected()
-        model = _updated(pairs, start)
-    return model, {w: ratio[i] for w, i in block.number.items()}
-
-
 class Block:
-    """Texts as numbers of words in a dictionary of their own."""
+    """The words of some texts, numbered as they come."""
 
     def __init__(self) -> None:
         self.number: dict[bytes, int] = {END: 0}
         self.order: list[bytes] = [END]
-        self.ids: list = []
-        self.lengths: list[int] = []
-        self.held: list[bool] = []
-        self.parts: list[np.ndarray] = []
         self.bytes = 0
 
-    def add(self, data: np.ndarray, at: np.ndarray, ids: list, held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers of the words of these texts, each followed by the end, and the texts' lengths with it."""
+    def add(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the words of these texts, each text followed by the end, and the texts' lengths with it."""
         data = lowered(data)
         starts, ends, text = words(data, at)
         _, first, inverse = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
@@ -208,15 +226,66 @@ class Block:
         keep[np.cumsum(counts + 1) - 1] = False
         if len(of):
             codes[keep] = of[inverse]
-        self.ids += ids
-        self.lengths += (counts + 1).tolist()
-        self.held += held.tolist()
-        self.parts.append(codes)
         self.bytes += len(data)
         return codes, counts + 1
 
-    def codes(self) -> np.ndarray:
-        return np.concatenate(self.parts) if self.parts else np.zeros(0, np.int32)
+
+def fit_sample(texts: list[bytes], states: int) -> tuple[Model, dict[bytes | None, np.ndarray]]:
+    """A model of the sample, and the share that each state has of each of its words, and of all others (None).
+
+    A few texts part the states well, since each begins with a mixture of its own; from there all texts are taken in.
+    Of several random beginnings, that with the greatest likelihood is kept.
+    """
+    block = Block()
+    both = [block.add(np.frombuffer(text, np.uint8), np.array([0, len(text)])) for text in texts]
+    n = len(block.order)
+    stay = 0.95
+    model = Model(np.full((states, states), (1 - stay) / max(states - 1, 1)), np.full(states, 1 / states))
+    np.fill_diagonal(model.trans, stay if states > 1 else 1.0)
+    if not both:
+        return model, {None: np.full(states, 1 / states)}
+    codes, lengths = np.concatenate([c for c, _ in both]), np.concatenate([x for _, x in both])
+    rate = np.bincount(codes, minlength=n) / len(codes)
+    few = max(1, len(lengths) // 10)
+    best = None
+    for seed in range(BEGINNINGS):
+        gamma = np.repeat(np.random.default_rng(seed).dirichlet(np.full(states, 0.3), few), lengths[:few], axis=0)
+        counts = np.stack([np.bincount(codes[: len(gamma)], weights=gamma[:, s], minlength=n) for s in range(states)])
+        own = model
+        for number, rounds in ((few, SAMPLE_ROUNDS[0]), (len(lengths), SAMPLE_ROUNDS[1])):
+            some = codes[: lengths[:number].sum()]
+            for _ in range(rounds):
+                emit = (1 - BACKOFF) * counts / (counts.sum(axis=1)[:, None] + 1e-9) + BACKOFF * rate
+                chains = Chains(own, emit.T, some, lengths[:number])
+                counts, pairs, start = chains.walk(expect=True)
+                own = _updated(pairs, start)
+        reached = chains.log_likelihood.sum()
+        if best is None or reached > best[0]:
+            best = reached, own, counts
+    _, model, counts = best
+    mass = counts.sum(axis=1)[:, None]
+    share = ((1 - BACKOFF) * counts + BACKOFF * rate * mass) / len(codes) / rate
+    return model, {w: share[:, i] for w, i in block.number.items()} | {None: mass[:, 0] / len(codes)}
+
+
+def _sample_task(states: int):
+    """One row for each word of the sample, and side rows: the model's, and the shares of words that aren't in the sample."""
+
+    def group(table: pa.Table) -> pa.Table:
+        model, share = fit_sample([b.as_py() for b in table.sort_by([("hash", "ascending"), ("text", "ascending")])["text"]], states)
+        others = share.pop(None)
+        names, values = list(share), [np.rint(SIDE_UNIT * v).astype(np.int64) for v in share.values()]
+        side = np.rint(np.vstack([model.trans, model.before, others]) * SIDE_UNIT).astype(np.int64)
+        columns = np.array([*values, *side], np.int64).reshape(-1, states)
+        words = pa.array([*names, *[b""] * (states + 2)], pa.binary()).cast(pa.string())
+        rank = pa.array([None] * len(names) + list(range(states + 2)), pa.int32())
+        return pa.table([words, rank, *(pa.array(columns[:, k]) for k in range(states))], names=["word", "side", *_names(states)])
+
+    return group
+
+
+def _names(states: int) -> list[str]:
+    return [f"e{k}" for k in range(states)]
 
 
 def _packed(codes: np.ndarray) -> bytes:
@@ -231,10 +300,10 @@ def _unpacked(data: bytes, n: int) -> np.ndarray:
 
 
 def _rounded(counts: np.ndarray, total: np.ndarray) -> np.ndarray:
-    """Multiples of 1 / UNIT that add up to each word's whole count."""
-    share = np.cumsum(counts, axis=1)
-    share = share / np.maximum(share[:, -1:], 1e-300) * (UNIT * total)[:, None]
-    return np.diff(np.rint(share).astype(np.int64), axis=1, prepend=0)
+    """By state and word, multiples of 1 / UNIT that add up to each word's whole count."""
+    share = np.cumsum(counts, axis=0)
+    share = share / np.maximum(share[-1], 1e-300) * (UNIT * total)
+    return np.diff(np.rint(share).astype(np.int64), axis=0, prepend=0)
 
 
 def held_out(ids: list) -> np.ndarray:
@@ -242,78 +311,43 @@ def held_out(ids: list) -> np.ndarray:
     return np.array([zlib.crc32(b"" if i is None else str(i).encode()) % 5 == 1 for i in ids], bool)
 
 
-def _block_schema(states: int) -> str:
-    return "block long, ids array<long>, lengths array<int>, held array<boolean>, codes binary, words array<string>, pairs array<double>, start array<double>, " + ", ".join(f"e{k} array<long>" for k in range(states))
-
-
-def _encode(model: Model, ratio: dict[bytes, np.ndarray], states: int):
-    """Blocks with the expected counts of their training documents under the initial model."""
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        serial = TaskContext.get().partitionId() << 20
-        known = {w: k for k, w in enumerate(ratio)}
-        table = np.concatenate([np.array(list(ratio.values())).reshape(-1, states), np.ones((1, states))])
-        state: dict = {}
-
-        def fresh() -> None:
-            state.update(block=Block(), rows=np.zeros(1 << 12, np.int32), counts=np.zeros((1 << 12, states)), total=np.zeros(1 << 12, np.int64), pairs=np.zeros((states, states)), start=np.zeros(states))
-
-        def close() -> pa.RecordBatch:
-            nonlocal serial
-            block: Block = state["block"]
-            n = len(block.order)
-            e = _rounded(state["counts"][:n], state["total"][:n])
-            columns = [
-                pa.array([serial], pa.int64()),
-                pa.array([block.ids], pa.list_(pa.int64())),
-                pa.array([block.lengths], pa.list_(pa.int32())),
-                pa.array([block.held], pa.list_(pa.bool_())),
-                pa.array([_packed(block.codes())], pa.binary()),
-                pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), pa.array(block.order, pa.binary()).cast(pa.string())),
-                pa.array([state["pairs"].ravel()], pa.list_(pa.float64())),
-                pa.array([state["start"]], pa.list_(pa.float64())),
-                *(pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), pa.array(e[:, k])) for k in range(states)),
-            ]
-            serial += 1
-            fresh()
-            return pa.RecordBatch.from_arrays(columns, ["block", "ids", "lengths", "held", "codes", "words", "pairs", "start", *(f"e{k}" for k in range(states))])
-
-        fresh()
-        for batch in batches:
-            for part in slices(batch):
-                block: Block = state["block"]
-                before = len(block.order) if block.lengths else 0
-                ids = part.column(0).to_pylist()
-                held = held_out(ids)
-                codes, lengths = block.add(*utf8(part.column("text")), ids, held)
-                n = len(block.order)
-                if n > len(state["total"]):
-                    size = n + n // 2
-                    state["rows"] = np.concatenate([state["rows"], np.zeros(size - len(state["rows"]), np.int32)])
-                    state["counts"] = np.concatenate([state["counts"], np.zeros((size - len(state["counts"]), states))])
-                    state["total"] = np.concatenate([state["total"], np.zeros(size - len(state["total"]), np.int64)])
-                state["rows"][before:n] = [known.get(w, len(known)) for w in block.order[before:]]
-                train = ~np.repeat(held, lengths)
-                codes, lengths = codes[train], lengths[~held]
-                if len(codes):
-                    gamma, pairs, start = Chains(model, table[state["rows"][codes]], lengths).expected()
-                    for k in range(states):
-                        state["counts"][:n, k] += np.bincount(codes, weights=gamma[:, k], minlength=n)
-                    state["total"][:n] += np.bincount(codes, minlength=n)
-                    state["pairs"] += pairs
-                    state["start"] += start
-                if block.bytes >= BLOCK_BYTES or n >= BLOCK_WORDS:
-                    yield close()
-        if state["block"].lengths:
-            yield close()
-
-    return task
+_BLOCKS = pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())), ("held", pa.list_(pa.bool_())), ("codes", pa.binary()), ("pos", pa.int32()), ("word", pa.string()), ("n", pa.int64())])
+_BLOCK_COLUMNS = "block long, ids array<long>, lengths array<int>, held array<boolean>, codes binary, pos int, word string, n long"
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each run of documents, and one for each word of a block's dictionary with its count in training documents."""
+    number = TaskContext.get().partitionId() << 20
+    block, counts = Block(), np.zeros(1, np.int64)
+
+    def dictionary() -> Iterator[pa.RecordBatch]:
+        for a in range(0, len(block.order), BATCH_ROWS):
+            part = block.order[a : a + BATCH_ROWS]
+            n = len(part)
+            none = (pa.nulls(n, _BLOCKS.field(k).type) for k in range(1, 5))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, number)), *none, pa.array(np.arange(a, a + n, dtype=np.int32)), pa.array(part, pa.binary()).cast(pa.string()), pa.array(counts[a : a + n])], schema=_BLOCKS)
+
+    for batch in batches:
+        for part in slices(batch):
+            ids = part.column(0).to_pylist()
+            held = held_out(ids)
+            codes, lengths = block.add(*utf8(part.column("text")))
+            counts = np.concatenate([counts, np.zeros(len(block.order) - len(counts), np.int64)])
+            counts += np.bincount(codes[~np.repeat(held, lengths)], minlength=len(counts))
+            row = [pa.array([number]), pa.array([ids], _BLOCKS.field("ids").type), pa.array([lengths.astype(np.int32)], _BLOCKS.field("lengths").type), pa.array([held], _BLOCKS.field("held").type), pa.array([_packed(codes)], pa.binary())]
+            yield pa.RecordBatch.from_arrays([*row, *(pa.nulls(1, _BLOCKS.field(k).type) for k in range(5, 8))], schema=_BLOCKS)
+            if block.bytes >= BLOCK_BYTES or len(block.order) >= BLOCK_WORDS:
+                yield from dictionary()
+                block, counts, number = Block(), np.zeros(1, np.int64), number + 1
+    if block.bytes or counts.any() or len(block.order) > 1:
+        yield from dictionary()
 
 
 def _emissions(counts: np.ndarray, shares: np.ndarray, totals: dict, states: int) -> tuple[np.ndarray, np.ndarray]:
     """P(word | state) of words with these counts and packed shares, and P(word) of the unigram model."""
     unigram = (counts + 0.5) / (totals["n"] + 0.5 * (totals["v"] + 1))
-    part = np.stack([(shares >> (8 * k)) & 255 for k in range(states)], axis=1) / 255 * counts[:, None]
+    part = np.stack([(shares >> (12 * k)) & SHARES for k in range(states - 1)], axis=1) if states > 1 else np.zeros((len(shares), 0))
+    part = np.concatenate([part, SHARES - part.sum(axis=1)[:, None]], axis=1) / SHARES * counts[:, None]
     mass = np.array(totals["mass"])
     own = np.divide(part, mass, out=np.tile(unigram[:, None], (1, states)), where=mass > 0)
     # As many of a state's words are new as it has had new words so far (Witten and Bell).
@@ -321,22 +355,19 @@ def _emissions(counts: np.ndarray, shares: np.ndarray, totals: dict, states: int
     return (1 - new) * own + new * unigram[:, None], unigram
 
 
-def _parts(block: pa.Table, row: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Texts of a block in parts of about 2^18 words: the first and last of each, their word numbers and lengths."""
-    lengths = block["lengths"][row].values.to_numpy()
-    codes = _unpacked(block["codes"][row].as_py(), int(lengths.sum()))
-    ends = np.cumsum(lengths)
-    first = 0
-    while first < len(lengths):
-        begin = ends[first - 1] if first else 0
-        last = max(first + 1, int(np.searchsorted(ends, begin + (1 << 18), "right")))
-        yield first, last, codes[begin : ends[last - 1]], lengths[first:last].astype(np.int64)
-        first = last
+def _texts(block: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Word numbers and lengths of a block's texts."""
+    lengths = [x.values.to_numpy() for x in block["lengths"]]
+    codes = [_unpacked(c.as_py(), int(x.sum())) for c, x in zip(block["codes"], lengths, strict=True)]
+    return np.concatenate([np.zeros(0, np.int32), *codes]), np.concatenate([np.zeros(0, np.int64), *lengths]).astype(np.int64)
+
 
+def _flags(block: pa.Table) -> np.ndarray:
+    return np.concatenate([np.zeros(0, bool), *(x.values.to_numpy(zero_copy_only=False) for x in block["held"])])
 
-def _dictionary(dictionary: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Counts and packed shares of a block's words by their numbers."""
-    n = dictionary.num_rows
+
+def _dictionary(dictionary: pa.Table, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Counts and packed shares of a block's n words by their numbers; words without a row are unknown."""
     counts, shares = np.zeros(n, np.int64), np.zeros(n, np.int64)
     at = dictionary["pos"].to_numpy()
     counts[at], shares[at] = dictionary["c"].to_numpy(), dictionary["shares"].to_numpy()
@@ -345,34 +376,27 @@ def _dictionary(dictionary: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 
 def _expect(model: Model, totals: dict, states: int):
     """Expected counts of a block's training documents: a row for each of their words, and the side rows."""
-    names = ["word", *(f"e{k}" for k in range(states))]
+    names = ["word", "side", *_names(states)]
 
     def group(block: pa.Table, dictionary: pa.Table) -> pa.Table:
-        counts, shares = _dictionary(dictionary)
-        n = len(counts)
-        emit, _ = _emissions(counts, shares, totals, states)
-        expected, total = np.zeros((n, states)), np.zeros(n, np.int64)
-        pairs, start = np.zeros((states, states)), np.zeros(states)
-        for row in range(block.num_rows):
-            held = block["held"][row].values.to_numpy(zero_copy_only=False)
-            for first, last, codes, lengths in _parts(block, row):
-                out = held[first:last]
-                codes, lengths = codes[~np.repeat(out, lengths)], lengths[~out]
-                if len(codes):
-                    gamma, p, s = Chains(model, emit[codes], lengths).expected()
-                    for k in range(states):
-                        expected[:, k] += np.bincount(codes, weights=gamma[:, k], minlength=n)
-                    total += np.bincount(codes, minlength=n)
-                    pairs += p
-                    start += s
-        order = np.empty(n, np.int64)
-        order[dictionary["pos"].to_numpy()] = np.arange(n)
-        seen = np.flatnonzero(total)
-        e = _rounded(expected[seen], total[seen])
-        side = np.rint(np.vstack([pairs, start]) * SIDE_UNIT).astype(np.int64)
-        words = dictionary["word"].combine_chunks().take(pa.array(order[seen]))
-        words = pa.concat_arrays([words.combine_chunks() if isinstance(words, pa.ChunkedArray) else words, pa.array([f"{SIDE}{k}" for k in range(states + 1)], words.type)])
-        return pa.table([words, *(pa.array(np.concatenate([e[:, k], side[:, k]])) for k in range(states))], names=names)
+        codes, lengths = _texts(block)
+        held = _flags(block)
+        codes, lengths = codes[~np.repeat(held, lengths)], lengths[~held]
+        at, keys = dictionary["pos"].to_numpy(), dictionary["word"].to_numpy()
+        n = int(max(codes.max(initial=-1), at.max(initial=-1))) + 1
+        emit, _ = _emissions(*_dictionary(dictionary, n), totals, states)
+        chains = Chains(model, emit, codes, lengths)
+        expected, pairs, start = chains.walk(expect=True)
+        total = np.bincount(codes, minlength=n)
+        here = total[at] > 0
+        at, keys = at[here], keys[here]
+        e = _rounded(expected[:, at], total[at])
+        logs = np.zeros(states)
+        logs[0] = chains.log_likelihood.sum() / np.log(10)
+        side = np.rint(np.vstack([pairs, start, logs]) * SIDE_UNIT).astype(np.int64)
+        word = pa.array(np.concatenate([keys, np.zeros(states + 2, np.int64)]))
+        rank = pa.array([None] * len(keys) + list(range(states + 2)), pa.int32())
+        return pa.table([word, rank, *(pa.array(np.concatenate([e[k], side[:, k]])) for k in range(states))], names=names)
 
     return group
 
@@ -381,86 +405,117 @@ def _score(model: Model, totals: dict, states: int):
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
     def group(block: pa.Table, dictionary: pa.Table) -> pa.Table:
-        out = []
-        counts, shares = _dictionary(dictionary)
+        codes, lengths = _texts(block)
+        n = int(max(codes.max(initial=-1), dictionary["pos"].to_numpy().max(initial=-1))) + 1
+        counts, shares = _dictionary(dictionary, n)
         emit, unigram = _emissions(counts, shares, totals, states)
-        log_unigram, known = np.log10(unigram), counts > 0
-        for row in range(block.num_rows):
-            ids, held = block["ids"][row].values, block["held"][row].values
-            for first, last, own, some in _parts(block, row):
-                begin = np.cumsum(some) - some
-                score = Chains(model, emit[own], some).log_likelihood / np.log(10)
-                columns = [ids.slice(first, last - first), held.slice(first, last - first), pa.array(some), pa.array(np.add.reduceat(known[own].astype(np.int64), begin)), pa.array(np.full(len(some), totals["n"], np.int64)), pa.array(np.add.reduceat(log_unigram[own], begin)), pa.array(score)]
-                out.append(pa.table(columns, names=names))
-        return pa.concat_tables(out) if out else pa.table({k: [] for k in names})
+        chains = Chains(model, emit, codes, lengths)
+        chains.walk()
+        begin = np.cumsum(lengths) - lengths
+        known = np.add.reduceat((counts > 0)[codes].astype(np.int64), begin) if len(begin) else begin
+        base = np.add.reduceat(np.log10(unigram)[codes], begin) if len(begin) else np.zeros(0)
+        ids = pa.concat_arrays([x.values for x in block["ids"]]) if block.num_rows else pa.array([], pa.int64())
+        columns = [ids, pa.array(_flags(block)), pa.array(lengths), pa.array(known), pa.array(np.full(len(lengths), totals["n"], np.int64)), pa.array(base), pa.array(chains.log_likelihood / np.log(10))]
+        return pa.table(columns, names=names)
 
     return group
 
 
-def _vocabulary(rows: DataFrame, states: int) -> DataFrame:
-    """(word, c, shares, side) of expected counts (word, e0, ...): side is null but for the side rows, c and shares for those."""
-    e = [f"e{k}" for k in range(states)]
-    rows = rows.groupBy("word").agg(*(F.sum(x).alias(x) for x in e))
-    # Shares of the states in 255ths, rounded along their sum so that they add up to 255.
+def _shared(rows: DataFrame, states: int) -> DataFrame:
+    """rows (..., e0, ...) with c, the whole count, and shares: those of the states but the last, rounded along their sum."""
+    e = _names(states)
     total = sum((F.col(x) for x in e[1:]), F.col(e[0]))
-    upto = [F.lit(0)] + [F.round(255.0 * sum((F.col(x) for x in e[1 : k + 1]), F.col(e[0])) / F.col("total")).cast("long") for k in range(states)]
-    shares = sum((F.shiftleft(upto[k + 1] - upto[k], 8 * k) for k in range(1, states)), upto[1] - upto[0])
-    side = F.col("word").startswith(SIDE)
-    return rows.withColumn("total", total).select("word", F.when(~side, (F.col("total") / UNIT).cast("long")).alias("c"), F.when(~side & (F.col("total") > 0), shares).alias("shares"), F.when(side, F.array(*e)).alias("side"))
+    upto = [F.lit(0).cast("long")] + [F.round(float(SHARES) * sum((F.col(x) for x in e[1 : k + 1]), F.col(e[0])) / F.col("total")).cast("long") for k in range(states - 1)]
+    shares = sum((F.shiftleft(upto[k + 1] - upto[k], 12 * k) for k in range(states - 1)), F.lit(0).cast("long"))
+    return rows.withColumn("total", total).withColumns({"c": (F.col("total") / UNIT).cast("long"), "shares": F.when(F.col("total") > 0, shares).otherwise(F.lit(0).cast("long"))})
 
 
 def _totals(vocabulary: DataFrame, states: int) -> dict:
-    mass = [F.sum(F.shiftright("shares", 8 * k).bitwiseAND(F.lit(255)) * F.col("c") / 255.0).alias(f"m{k}") for k in range(states)]
-    types = [F.sum(F.shiftright("shares", 8 * k).bitwiseAND(F.lit(255)) / 255.0).alias(f"t{k}") for k in range(states)]
+    """Tokens and distinct words, and each state's tokens and distinct words, of (c, shares)."""
+    part = [F.shiftright("shares", 12 * k).bitwiseAND(F.lit(SHARES)) for k in range(states - 1)]
+    part.append(F.lit(SHARES) - sum(part, F.lit(0).cast("long")))
+    # Sums of longs, which don't depend on the order of rows.
+    mass = [F.sum(p * F.col("c").cast("decimal(20,0)")).alias(f"m{k}") for k, p in enumerate(part)]
+    types = [F.sum(p).alias(f"t{k}") for k, p in enumerate(part)]
     sums = vocabulary.agg(F.count("c").alias("v"), F.coalesce(F.sum("c"), F.lit(0)).alias("n"), *mass, *types).head()
-    return {"v": sums["v"], "n": sums["n"], "mass": [sums[f"m{k}"] or 0.0 for k in range(states)], "types": [sums[f"t{k}"] or 0.0 for k in range(states)]}
+    return {"v": sums["v"], "n": sums["n"], "mass": [float(sums[f"m{k}"] or 0) / SHARES for k in range(states)], "types": [(sums[f"t{k}"] or 0) / SHARES for k in range(states)]}
+
 
+def _sides(rows: DataFrame, states: int) -> np.ndarray:
+    """The side rows, of which there are states + 2 at most."""
+    out = np.zeros((states + 2, states))
+    for r in rows.filter("side is not null").collect():
+        out[r["side"]] = [r[x] / SIDE_UNIT for x in _names(states)]
+    return out
 
-def _sides(vocabulary: DataFrame, states: int) -> Model:
-    side = {r["word"][len(SIDE) :]: r["side"] for r in vocabulary.filter("side is not null").select("word", "side").collect()}
-    rows = np.array([side.get(str(k), [0] * states) for k in range(states + 1)]) / SIDE_UNIT
-    return _updated(rows[:-1], rows[-1])
+
+def _sample(docs: DataFrame, sample: int, states: int) -> DataFrame:
+    """(word, side, e0, ...) of the model of the sample, fitted in one task."""
+    fold = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(5))
+    short = docs.filter((fold != 1) & F.col("doc_id").isNotNull() & (F.length("text") <= SAMPLE_CHARS))
+    picked = short.select(F.xxhash64("doc_id").alias("hash"), F.col("text").cast("binary").alias("text")).orderBy("hash", "text").limit(sample)
+    schema = "word string, side int, " + ", ".join(f"{x} long" for x in _names(states))
+    return picked.groupBy(F.lit(0).alias("one")).applyInArrow(_sample_task(states), schema)
 
 
-def lm_scores(docs: DataFrame, states: int = STATES, sample: int = SAMPLE, rounds: int = ROUNDS) -> DataFrame:
+def lm_scores(docs: DataFrame, states: int = STATES, sample: int = SAMPLE, rounds: int = ROUNDS, report: list | None = None) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
-    rounds: Baum-Welch rounds over all training documents, at least one; the sample only starts them.
+    rounds: the most Baum-Welch rounds over all training documents, at least one; they stop early when a round adds
+    less than ENOUGH to a training token's mean log10 likelihood. The sample only starts them. Expected counts are
+    rounded to 1 / UNIT, and a word's shares of the states to 1 / SHARES; likelihoods are exact for the model so stored.
+    report, if given, gets the mean log10 likelihood of a training token before each round.
+
     score: log10 of the text's probability under the model; base_score: under the unigram model with 0.5 added to each
     count. Both learn from the documents that aren't held out. Words that those don't have count as one more word. A
     null text counts as empty, which is one end; a null doc_id is not held out; repeated rows count each time and keep
-    their rows. Without training documents all words are unknown. An empty table gives an empty result; other columns
-    are not read.
+    their rows. A very long text is worked on in segments, with memory for its word numbers alone. Without training
+    documents all words are unknown. An empty table gives an empty result; other columns are not read.
     """
-    spark = docs.sparkSession
+    if not 1 <= states <= 6:
+        raise ValueError("1 to 6 states")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    fold = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(5))
-    picked = docs.select("doc_id").filter((fold != 1) & F.col("doc_id").isNotNull()).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    texts = docs.join(F.broadcast(picked), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text")).collect()
-    model, ratio = _fit_sample([bytes(r["text"]) for r in sorted(texts, key=lambda r: (r["doc_id"], bytes(r["text"])))], states, SAMPLE_ROUNDS)
-
-    blocks = written(docs.mapInArrow(_encode(model, ratio, states), _block_schema(states)), "hmm-blocks")
-    summed = {s: blocks.select(F.posexplode(s).alias("k", "x")).groupBy("k").agg(F.sum("x").alias("x")).collect() for s in ("pairs", "start")}
-    pairs, start = (np.array([r["x"] for r in sorted(summed[s], key=lambda r: r["k"])]) for s in ("pairs", "start"))
-    if len(start):
-        model = _updated(pairs.reshape(states, states), start)
-
-    e = [f"e{k}" for k in range(states)]
-    rows = blocks.select(F.inline(F.arrays_zip("words", *e))).toDF("word", *e)
-    vocabulary = written(_vocabulary(rows.filter(" + ".join(e) + " > 0"), states), "hmm-vocabulary-1")
+    e = _names(states)
+    start = written(_sample(docs, sample, states), "hmm-sample")
+    blocks = written(docs.mapInArrow(_blocks, _BLOCK_COLUMNS), "hmm-blocks")
+
+    # Each known word gets a number; the blocks' dictionaries are written once more with it in place of the word.
+    known = blocks.filter("pos is not null").groupBy("word").agg(F.sum("n").alias("n")).filter("n > 0")
+    side = _sides(start, states)
+    if not side.any():
+        model, share = fit_sample([], states)
+        side = np.vstack([model.trans, model.before, share[None]])
+    others = [int(round(x * SIDE_UNIT)) for x in side[states + 1]]
+    first = known.join(start.filter("side is null"), "word", "left").select("word", "n", *(F.coalesce(x, F.lit(o).cast("long")).alias(x) for x, o in zip(e, others, strict=True)))
+    first = _shared(first, states).select("word", F.col("n").alias("c"), "shares").withColumn("number", F.monotonically_increasing_id())
+    first = written(first, "hmm-words")
+    keys = blocks.filter("pos is not null").select("block", "pos", "word").join(first, "word").select("block", "pos", F.col("number").alias("word"))
+    keys = written(keys, "hmm-keys")
+    vocabulary = first.select(F.col("number").alias("word"), "c", "shares")
     totals = _totals(vocabulary, states)
+    model = Model(side[:states], side[states])
 
-    keys = blocks.select(F.col("block").alias("of_block"), F.posexplode("words").alias("pos", "word"))
-    coded = blocks.select("block", "ids", "lengths", "held", "codes").groupBy("block")
+    coded = blocks.filter("codes is not null").select("block", "ids", "lengths", "held", "codes")
 
     def dictionary(*more: str):
-        found = keys.join(vocabulary.filter("side is null"), "word", "left")
-        return found.select("of_block", "pos", *more, F.coalesce("c", F.lit(0)).alias("c"), F.coalesce("shares", F.lit(0)).alias("shares")).groupBy("of_block")
-
-    for k in range(2, rounds + 1):
-        counted = coded.cogroup(dictionary("word")).applyInArrow(_expect(model, totals, states), "word string, " + ", ".join(f"{x} long" for x in e))
-        vocabulary = written(_vocabulary(counted, states), f"hmm-vocabulary-{k}")
-        model, totals = _sides(vocabulary, states), _totals(vocabulary, states)
-        spark.sparkContext._jvm.System.gc()  # the files of the rounds' exchanges go with their last references
-    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return coded.cogroup(dictionary()).applyInArrow(_score(model, totals, states), schema)
+        return keys.join(vocabulary, "word").select(F.col("block").alias("of_block"), "pos", *more, "c", "shares").groupBy("of_block")
+
+    reached = None
+    for k in range(rounds):
+        counted = coded.groupBy("block").cogroup(dictionary("word")).applyInArrow(_expect(model, totals, states), "word long, side int, " + ", ".join(f"{x} long" for x in e))
+        summed = counted.groupBy("word", "side").agg(*(F.sum(x).alias(x) for x in e))
+        before, vocabulary = vocabulary, written(_shared(summed, states).select("word", "side", "c", "shares", *(F.when(F.col("side").isNotNull(), F.col(x)).alias(x) for x in e)), f"hmm-round-{k}")
+        side = _sides(vocabulary, states)
+        vocabulary = vocabulary.filter("side is null").select("word", "c", "shares")
+        if k:
+            dropped(before)
+        model, totals = _updated(side[:states], side[states]), _totals(vocabulary, states)
+        mean = side[states + 1][0] / max(totals["n"], 1)
+        if report is not None:
+            report.append(mean)
+        if reached is not None and mean - reached < ENOUGH:
+            break
+        reached = mean
+        gc.collect()
+    scored = coded.groupBy("block").cogroup(dictionary()).applyInArrow(_score(model, totals, states), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return scored
