@@ -481,6 +481,61 @@ def test_fingerprints(docs, texts):
     assert np.abs(np.mean(errors, axis=0)).max() < 0.05 and np.sqrt(np.mean(np.square(errors), axis=0)).max() < 0.12
 
 
+M64 = (1 << 64) - 1
+
+
+def xx64(value, seed):
+    """xxhash64 of an 8-byte integer, as Spark's."""
+    import xxhash
+
+    return xxhash.xxh64_intdigest((value & M64).to_bytes(8, "little"), seed & M64)
+
+
+def plain_fingerprint(text, samples):
+    """The samples of a text, one word at a time in Python; the text is ASCII."""
+    import xxhash
+
+    part = lambda bits, shift: ((bits >> shift) & ((1 << 21) - 1)) + 0.5
+    bag = collections.Counter(xxhash.xxh64_intdigest(w.encode(), 42) for w in WORD.findall(text.lower()))
+    out = []
+    for i in range(samples):
+        best = None
+        for word, n in bag.items():
+            # xxhash64(word, i) in Spark: the first value is hashed with seed 42, the second with that hash as seed.
+            x = xxhash.xxh64_intdigest(i.to_bytes(4, "little", signed=True), xx64(word, 42))
+            y = xx64(x, 42)
+            r = -(math.log(part(x, 0) * part(x, 21)) - 42 * math.log(2))
+            log_c = math.log(42 * math.log(2) - math.log(part(x, 42) * part(y, 0)))
+            b = part(y, 21) * 2.0**-21
+            value = log_c - r * (math.floor(math.log(n) / r + b) + 1 - b)
+            best = value if best is None else min(best, value)
+        out.append(best)
+    return out
+
+
+def test_samples_against_a_plain_version(spark):
+    """Agreement of samples as computed word by word is the agreement of fingerprints."""
+    rng = random.Random(8)
+    some = [" ".join(rng.choice("a b c d e f g h i j".split()) for _ in range(rng.randint(5, 40))) for _ in range(12)]
+    n = 16
+    got = {r["doc_id"]: r for r in fingerprints.fingerprints(spark.createDataFrame(list(enumerate(some)), "doc_id long, text string"), samples=n).collect()}
+    plain = [plain_fingerprint(t, n) for t in some]
+    for k in range(len(some)):
+        following = (k - 1) % len(some)
+        same = sum(abs(a - b) < 1e-9 for a, b in zip(plain[k], plain[following])) / n
+        assert abs(got[k]["near_next"] - same) < 1e-9
+
+
+def test_rows_of_one_doc_id_are_parted(spark):
+    docs = spark.range(4000).selectExpr("cast(null as long) as doc_id", "concat('text number ', id) as text").unionByName(spark.createDataFrame([(5, "a b"), (9, "c d")], "doc_id long, text string"))
+    rows = fingerprints._neighbours(docs)
+    assert max(r["count"] for r in rows.groupBy("bucket").count().collect()) < 600
+    got = rows.select("row", "next_row", "text", "following").collect()
+    by_row = {r["row"]: r for r in got}
+    assert len(by_row) == 4002 and {r["next_row"] for r in got} == set(by_row) and all(by_row[r["next_row"]]["text"] == r["following"] for r in got)
+    assert next(r for r in got if r["text"] == "c d")["following"] == "a b"
+
+
 # 10: tokens
 
 
