@@ -40,14 +40,18 @@ ENOUGH = 1e-4
 #: Words of a segment, and of the segments that are worked on together.
 SEGMENT = 1024
 TOGETHER = 1 << 18
+#: Steps of the recursion after which its numbers are scaled; a step takes off a word's probability.
+SCALED = 8
 #: A block is closed when it has so many bytes of text or distinct words.
-BLOCK_BYTES = 16 << 20
-BLOCK_WORDS = 200_000
+BLOCK_BYTES = 32 << 20
+BLOCK_WORDS = 400_000
 #: The share of each state's emissions that follows the unigram model while the sample is fitted.
 BACKOFF = 0.1
 #: Expected counts are multiples of 1 / UNIT, a word's shares of the states multiples of 1 / SHARES.
 UNIT = 256
 SHARES = (1 << 12) - 1
+#: Bits of a word's count where it shares a long with the word's number in its block.
+COUNT_BITS = 44
 #: Expected transitions, starts and logarithms are multiples of 1 / SIDE_UNIT.
 SIDE_UNIT = 1 << 20
 #: The end of a text in the dictionary; no word is a line feed.
@@ -79,9 +83,8 @@ class Chains:
     """Likelihoods and expected counts of texts, given the emissions of the dictionary's words by state."""
 
     def __init__(self, model: Model, emit: np.ndarray, codes: np.ndarray, lengths: np.ndarray) -> None:
-        """emit: a row for each word number; codes: the texts' word numbers; lengths: at least one word each."""
-        self.model, self.codes, self.lengths = model, codes, lengths
-        self.emit = np.ascontiguousarray(emit.T)
+        """emit: by state and word number; codes: the texts' word numbers; lengths: at least one word each."""
+        self.model, self.emit, self.codes, self.lengths = model, emit, codes, lengths
         first = np.cumsum(lengths) - lengths
         self.number = -(-lengths // SEGMENT)
         self.first = np.cumsum(self.number) - self.number
@@ -123,7 +126,7 @@ class Chains:
             for t in range(SEGMENT):
                 m = (trans.T @ m.reshape(states, -1)).reshape(states, states, q)
                 m *= self.emit[:, self.codes[self.start[group] + t]][:, None, :]
-                if t % 8 == 7:
+                if t % SCALED == SCALED - 1:
                     m /= m.sum(axis=(0, 1))
             matrix[:, :, place[group]] = m / m.sum(axis=(0, 1))
         ends = last[long]
@@ -157,35 +160,38 @@ class Chains:
             steps = Steps(self.start[group], self.size[group])
             codes = self.codes[steps.at]
             emit = self.emit[:, codes]
-            alpha, scale = np.empty_like(emit), np.empty(emit.shape[1])
-            f0 = self.before[:, group]
-            f = f0
-            for a, b in zip(steps.begin.tolist(), steps.to.tolist(), strict=True):
-                x = forth @ f[:, : b - a]
+            alpha, logs = np.empty_like(emit), np.zeros(len(group))
+            f = f0 = np.ascontiguousarray(self.before[:, group])
+            begin, to = steps.begin.tolist(), steps.to.tolist()
+            for t, (a, b) in enumerate(zip(begin, to, strict=True)):
+                x = alpha[:, a:b]
+                np.matmul(forth, f[:, : b - a], out=x)
                 x *= emit[:, a:b]
-                s = x.sum(axis=0)
-                x /= s
-                scale[a:b] = s
-                alpha[:, a:b] = f = x
-            logs = np.log(scale)
+                if t % SCALED == SCALED - 1:
+                    # The backward pass takes the same scale off the same words.
+                    by = 1.0 / x.sum(axis=0)
+                    x *= by
+                    emit[:, a:b] *= by
+                    logs[: b - a] -= np.log(by)
+                f = x
+            end = steps.begin[self.size[group] - 1] + np.arange(len(group))
+            logs += np.log(alpha[:, end].sum(axis=0))
             of = self.text[group]
-            by_rank = np.bincount(np.arange(len(codes)) - np.repeat(steps.begin, steps.active), weights=logs, minlength=len(group))
-            self.log_likelihood += np.bincount(of, weights=by_rank, minlength=len(self.lengths))
+            self.log_likelihood += np.bincount(of, weights=logs, minlength=len(self.lengths))
             if not expect:
                 continue
-            # Backward with the forward pass's scales: gamma is their product, with no further factor.
-            emit /= scale
-            end = steps.to[self.size[group] - 1] - steps.active[self.size[group] - 1] + np.arange(len(group))
+            # At every word, the product of both passes is then the same number, which is made 1 at the segment's end.
             back = self.after[:, group]
             back = back / (alpha[:, end] * back).sum(axis=0)
-            for t in range(len(steps.active) - 1, -1, -1):
-                a, b = steps.begin[t], steps.to[t]
-                n = b - a
-                x = emit[:, a:b] * back[:, :n]
-                prior = alpha[:, steps.begin[t - 1] : steps.begin[t - 1] + n] if t else f0
+            for t in range(len(begin) - 1, -1, -1):
+                a, b = begin[t], to[t]
+                here = back[:, : b - a]
+                x = emit[:, a:b]
+                x *= here
+                prior = alpha[:, begin[t - 1] : begin[t - 1] + b - a] if t else f0
                 pairs += prior @ x.T
-                alpha[:, a:b] *= back[:, :n]
-                back[:, :n] = trans @ x
+                alpha[:, a:b] *= here
+                here[...] = trans @ x
             for k in range(states):
                 counts[k] += np.bincount(codes, weights=alpha[k], minlength=words)
             head = np.flatnonzero(self.first[of] == group)
@@ -256,7 +262,7 @@ def fit_sample(texts: list[bytes], states: int) -> tuple[Model, dict[bytes | Non
             some = codes[: lengths[:number].sum()]
             for _ in range(rounds):
                 emit = (1 - BACKOFF) * counts / (counts.sum(axis=1)[:, None] + 1e-9) + BACKOFF * rate
-                chains = Chains(own, emit.T, some, lengths[:number])
+                chains = Chains(own, emit, some, lengths[:number])
                 counts, pairs, start = chains.walk(expect=True)
                 own = _updated(pairs, start)
         reached = chains.log_likelihood.sum()
@@ -344,15 +350,17 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _emissions(counts: np.ndarray, shares: np.ndarray, totals: dict, states: int) -> tuple[np.ndarray, np.ndarray]:
-    """P(word | state) of words with these counts and packed shares, and P(word) of the unigram model."""
+    """By state, P(word | state) of words with these counts and packed shares; and P(word) of the unigram model."""
     unigram = (counts + 0.5) / (totals["n"] + 0.5 * (totals["v"] + 1))
-    part = np.stack([(shares >> (12 * k)) & SHARES for k in range(states - 1)], axis=1) if states > 1 else np.zeros((len(shares), 0))
-    part = np.concatenate([part, SHARES - part.sum(axis=1)[:, None]], axis=1) / SHARES * counts[:, None]
-    mass = np.array(totals["mass"])
-    own = np.divide(part, mass, out=np.tile(unigram[:, None], (1, states)), where=mass > 0)
-    # As many of a state's words are new as it has had new words so far (Witten and Bell).
-    new = (np.array(totals["types"]) + 1) / (np.array(totals["types"]) + mass + 1)
-    return (1 - new) * own + new * unigram[:, None], unigram
+    emit, rest = np.empty((states, len(counts))), np.full(len(counts), SHARES, np.int64)
+    for k, (mass, types) in enumerate(zip(totals["mass"], totals["types"], strict=True)):
+        part = (shares >> (12 * k)) & SHARES if k < states - 1 else rest
+        rest = rest - part
+        own = part * counts / (SHARES * mass) if mass > 0 else unigram
+        # As many of a state's words are new as it has had new words so far (Witten and Bell).
+        new = (types + 1) / (types + mass + 1)
+        emit[k] = (1 - new) * own + new * unigram
+    return emit, unigram
 
 
 def _texts(block: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -366,37 +374,37 @@ def _flags(block: pa.Table) -> np.ndarray:
     return np.concatenate([np.zeros(0, bool), *(x.values.to_numpy(zero_copy_only=False) for x in block["held"])])
 
 
-def _dictionary(dictionary: pa.Table, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Counts and packed shares of a block's n words by their numbers; words without a row are unknown."""
+def _dictionary(dictionary: pa.Table, n: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers of a block's known words, and counts and packed shares of all its words, at least n; the others are unknown."""
+    at = dictionary["at"].to_numpy()
+    pos = at >> COUNT_BITS
+    n = max(n, int(pos.max(initial=-1)) + 1)
     counts, shares = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    at = dictionary["pos"].to_numpy()
-    counts[at], shares[at] = dictionary["c"].to_numpy(), dictionary["shares"].to_numpy()
-    return counts, shares
+    counts[pos], shares[pos] = at & ((1 << COUNT_BITS) - 1), dictionary["shares"].to_numpy()
+    return pos, counts, shares
 
 
 def _expect(model: Model, totals: dict, states: int):
     """Expected counts of a block's training documents: a row for each of their words, and the side rows."""
-    names = ["word", "side", *_names(states)]
+    names = ["word", *_names(states)]
 
     def group(block: pa.Table, dictionary: pa.Table) -> pa.Table:
         codes, lengths = _texts(block)
         held = _flags(block)
         codes, lengths = codes[~np.repeat(held, lengths)], lengths[~held]
-        at, keys = dictionary["pos"].to_numpy(), dictionary["word"].to_numpy()
-        n = int(max(codes.max(initial=-1), at.max(initial=-1))) + 1
-        emit, _ = _emissions(*_dictionary(dictionary, n), totals, states)
+        at, counts, shares = _dictionary(dictionary, int(codes.max(initial=-1)) + 1)
+        emit, _ = _emissions(counts, shares, totals, states)
         chains = Chains(model, emit, codes, lengths)
         expected, pairs, start = chains.walk(expect=True)
-        total = np.bincount(codes, minlength=n)
+        total = np.bincount(codes, minlength=len(counts))
         here = total[at] > 0
-        at, keys = at[here], keys[here]
+        at, keys = at[here], dictionary["word"].to_numpy()[here]
         e = _rounded(expected[:, at], total[at])
         logs = np.zeros(states)
         logs[0] = chains.log_likelihood.sum() / np.log(10)
         side = np.rint(np.vstack([pairs, start, logs]) * SIDE_UNIT).astype(np.int64)
-        word = pa.array(np.concatenate([keys, np.zeros(states + 2, np.int64)]))
-        rank = pa.array([None] * len(keys) + list(range(states + 2)), pa.int32())
-        return pa.table([word, rank, *(pa.array(np.concatenate([e[k], side[:, k]])) for k in range(states))], names=names)
+        word = pa.array(np.concatenate([keys, -1 - np.arange(states + 2)]))
+        return pa.table([word, *(pa.array(np.concatenate([e[k], side[:, k]])) for k in range(states))], names=names)
 
     return group
 
@@ -406,8 +414,7 @@ def _score(model: Model, totals: dict, states: int):
 
     def group(block: pa.Table, dictionary: pa.Table) -> pa.Table:
         codes, lengths = _texts(block)
-        n = int(max(codes.max(initial=-1), dictionary["pos"].to_numpy().max(initial=-1))) + 1
-        counts, shares = _dictionary(dictionary, n)
+        _, counts, shares = _dictionary(dictionary, int(codes.max(initial=-1)) + 1)
         emit, unigram = _emissions(counts, shares, totals, states)
         chains = Chains(model, emit, codes, lengths)
         chains.walk()
@@ -498,15 +505,19 @@ def lm_scores(docs: DataFrame, states: int = STATES, sample: int = SAMPLE, round
     coded = blocks.filter("codes is not null").select("block", "ids", "lengths", "held", "codes")
 
     def dictionary(*more: str):
-        return keys.join(vocabulary, "word").select(F.col("block").alias("of_block"), "pos", *more, "c", "shares").groupBy("of_block")
+        at = F.shiftleft(F.col("pos").cast("long"), COUNT_BITS).bitwiseOR(F.col("c"))
+        return keys.join(vocabulary, "word").select(F.col("block").alias("of_block"), at.alias("at"), *more, "shares").groupBy("of_block")
 
     reached = None
     for k in range(rounds):
-        counted = coded.groupBy("block").cogroup(dictionary("word")).applyInArrow(_expect(model, totals, states), "word long, side int, " + ", ".join(f"{x} long" for x in e))
-        summed = counted.groupBy("word", "side").agg(*(F.sum(x).alias(x) for x in e))
-        before, vocabulary = vocabulary, written(_shared(summed, states).select("word", "side", "c", "shares", *(F.when(F.col("side").isNotNull(), F.col(x)).alias(x) for x in e)), f"hmm-round-{k}")
-        side = _sides(vocabulary, states)
-        vocabulary = vocabulary.filter("side is null").select("word", "c", "shares")
+        counted = coded.groupBy("block").cogroup(dictionary("word")).applyInArrow(_expect(model, totals, states), "word long, " + ", ".join(f"{x} long" for x in e))
+        summed = counted.groupBy("word").agg(*(F.sum(x).alias(x) for x in e))
+        # Numbers of words count up from 0; the side rows have those below.
+        is_side = F.col("word") < 0
+        summed = _shared(summed, states).select("word", "c", "shares", *(F.when(is_side, F.col(x)).alias(x) for x in e))
+        before, vocabulary = vocabulary, written(summed, f"hmm-round-{k}")
+        side = _sides(vocabulary.filter(is_side).withColumn("side", (-1 - F.col("word")).cast("int")), states)
+        vocabulary = vocabulary.filter(~is_side).select("word", "c", "shares")
         if k:
             dropped(before)
         model, totals = _updated(side[:states], side[states]), _totals(vocabulary, states)

@@ -220,7 +220,7 @@ def test_chains_against_the_plain_recursion(monkeypatch, segment, together):
     trans, before, table = rng.dirichlet(np.ones(k), k), rng.dirichlet(np.ones(k)), rng.dirichlet(np.ones(30), k).T
     lengths = np.array([1, 5, 64, 65, 300, 128, 2])
     codes = rng.integers(0, 30, lengths.sum())
-    chains = hmm.Chains(hmm.Model(trans, before), table, codes, lengths)
+    chains = hmm.Chains(hmm.Model(trans, before), np.ascontiguousarray(table.T), codes, lengths)
     counts, pairs, start = chains.walk(expect=True)
     at, moves, want, begun = 0, np.zeros((k, k)), np.zeros((k, 30)), np.zeros(k)
     for d, n in enumerate(lengths):
@@ -309,7 +309,7 @@ def test_emissions_add_up_to_one():
     totals = {"n": 9, "v": 3, "mass": [5 + 100 / n, 3 + (n - 100) / n], "types": [1 + 100 / n, 1 + (n - 100) / n]}
     known, _ = hmm._emissions(counts, shares, totals, 2)
     unknown, _ = hmm._emissions(np.array([0]), np.array([0]), totals, 2)
-    assert np.allclose(known.sum(axis=0) + unknown[0], 1)
+    assert np.allclose(known.sum(axis=1) + unknown[:, 0], 1)
 
 
 # 5: mixing
