@@ -4,8 +4,12 @@ Documents with equal shingle sets form a class with one representative. A repres
 coordinate-value pairs of its signature. Pairs that at least two representatives have are ordered by rarity, and only
 a prefix of them makes postings: two signatures that agree in T of K coordinates share a pair within the first K-T+1
 of each. Within a posting list collisions are counted, skipping whatever can't reach T, and what is left are candidate
-links; a long list makes one candidate group instead. Candidate groups are dealt into tiles of bounded size in which
-full shingle sets are compared exactly, and the confirmed links give the components.
+links; a long list makes one candidate group. Small groups are compared in one tile on their full shingle sets. In
+large ones, collisions with a pivot are counted first and what reaches T is confirmed: copies of one text leave as
+spokes of its star, which takes work in proportion to their number. Only what no star has joined is dealt into tiles
+of bounded size, against the rest of its group. The confirmed links give the components.
+
+Shingles are compared by 64-bit hashes: a link is judged wrongly only where two of the shingles of a pair collide.
 """
 
 from __future__ import annotations
@@ -25,10 +29,12 @@ from .common import components, constants, filter_bit, filter_hits, key_filter,
 COORDINATES = 32
 #: The chance that a link at the threshold itself has fewer agreeing coordinates than the match threshold.
 MISS = 1e-6
-#: Longer posting lists become one candidate group without counting.
+#: Longer posting lists become one candidate group, in which collisions are counted with pivots.
 LONG_LIST = 64
-#: Representatives of one block; a tile holds one or two blocks.
-BLOCK = 256
+#: Representatives of one block; a tile holds one or two blocks, or a block and a pivot.
+BLOCK = 64
+#: Pivots of a large group, one after the other.
+STARS = 3
 
 _WINDOW = constants(5, 21)
 _FEWER = constants(8, 22)
@@ -79,6 +85,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             values, number = shingles(*utf8(part.column("text")))
             ends = np.cumsum(number)
             size, digest = np.zeros(len(number), np.int64), []
+            sha = [hashlib.sha256(t.as_buffer() if t.is_valid else b"").digest() for t in part.column("text")]
             for k, (e, n) in enumerate(zip(ends, number, strict=True)):
                 own = np.unique(values[e - n : e])
                 size[k] = len(own)
@@ -92,7 +99,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         least = np.minimum.reduceat(values * _SPREAD[j], first)
                         tokens[some, j] = (least >> np.uint64(32)).astype(np.int64) | (j << 32)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, tokens.size + 1, COORDINATES, dtype=np.int32)), pa.array(tokens.ravel()))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(size), pa.array(digest, pa.binary()), lists], ["doc_id", "n_shingles", "digest", "tokens"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(size), pa.array(sha, pa.binary()), pa.array(digest, pa.binary()), lists], ["doc_id", "n_shingles", "sha", "digest", "tokens"])
 
 
 def _candidates(least_percent: int, need: int):
@@ -170,96 +177,150 @@ def linked(sets: list[np.ndarray], least_percent: int) -> np.ndarray:
 
 
 def _confirm(least_percent: int):
-    def stars(keys: list[int], single: bool, texts: list[bytes]) -> Iterator[tuple[int, int, bool]]:
+    def stars(keys: list[int], texts: list[bytes]) -> Iterator[tuple[int, int]]:
         if len(keys) < 2:
             return
-        order = sorted(range(len(keys)), key=keys.__getitem__)
         sets = []
-        for i in order:
-            data = np.frombuffer(texts[i], np.uint8)
+        for text in texts:
+            data = np.frombuffer(text, np.uint8)
             sets.append(np.unique(shingles(data, np.array([0, len(data)]))[0]))
-        for i, g in zip(order, linked(sets, least_percent), strict=True):
-            if order[g] != i:
-                yield keys[order[g]], keys[i], single
-
-    def batch_of(out: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.bool_())], ["a", "b", "single"])
+        for i, g in enumerate(linked(sets, least_percent)):
+            if g != i:
+                yield keys[g], keys[i]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tile, keys, texts, alone, out = None, [], [], True, []
+        tile, keys, texts, out = None, [], [], []
         for batch in batches:
-            for t, single, rep, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
+            for t, cls, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 if t != tile:
-                    out += stars(keys, alone, texts)
-                    tile, keys, texts, alone = t, [], [], single
-                alone = alone and single
-                keys.append(rep)
+                    out += stars(keys, texts)
+                    tile, keys, texts = t, [], []
+                keys.append(cls)
                 texts.append(text.as_buffer().to_pybytes())
             if out:
-                yield batch_of(out)
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["a", "b"])
                 out = []
-        out += stars(keys, alone, texts)
+        out += stars(keys, texts)
         if out:
-            yield batch_of(out)
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["a", "b"])
+
+    return task
+
+
+def _spokes(least_percent: int, need: int):
+    """Confirmed links of the pivot that each run of rows of one tile begins with: (a, b), a the pivot."""
+
+    def own_set(text: pa.BinaryScalar) -> np.ndarray:
+        data = np.frombuffer(text.as_buffer(), np.uint8)
+        return np.unique(shingles(data, np.array([0, len(data)]))[0])
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile, pivot, tokens, hub = None, None, frozenset(), np.zeros(0, np.uint64)
+        for batch in batches:
+            a, b = [], []
+            for t, first, cls, own, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4), strict=True):
+                if first:
+                    tile, pivot, tokens, hub = t, cls, frozenset(own), own_set(text)
+                elif t == tile and cls != pivot and len(tokens.intersection(own)) >= need:
+                    other = own_set(text)
+                    both = len(np.intersect1d(hub, other, assume_unique=True))
+                    if 100 * both >= least_percent * (len(hub) + len(other) - both):
+                        a.append(pivot)
+                        b.append(cls)
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return task
 
 
+def _stars(large: DataFrame, least_percent: int, need: int) -> DataFrame | None:
+    """(a, b): links of up to STARS pivots of each large group with its members; large: (cls, root, total, weight, tokens, text).
+
+    A pivot is the member whose coordinate-value pairs are the most frequent of those that aren't linked with a pivot
+    yet; it is compared with the whole group, dealt into chunks that each get a copy of it.
+    """
+    chunks = F.ceil(F.col("total") / BLOCK)
+    chunk = F.pmod(F.xxhash64("cls"), chunks)
+    still, links = large.select("cls", "root", "weight"), None
+    for k in range(STARS):
+        pivots = written(still.groupBy("root").agg(F.max_by("cls", F.struct("weight", "cls")).alias("pivot")), "near-pivots")
+        if pivots.isEmpty():
+            break
+        all_members = large.join(pivots, "root")
+        copies = all_members.filter("cls = pivot").select("root", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)).alias("chunk"), "cls", "tokens", "text")
+        rows = all_members.select("root", chunk.alias("chunk"), F.lit(False).alias("first"), "cls", "tokens", "text").unionByName(copies.withColumn("first", F.lit(True)))
+        rows = rows.select(F.xxhash64("root", "chunk").alias("tile"), "first", "cls", "tokens", "text").repartition("tile").sortWithinPartitions("tile", F.desc("first"))
+        found = written(rows.mapInArrow(_spokes(least_percent, need), "a long, b long"), "near-stars")
+        links = found if links is None else links.unionByName(found)
+        gone = found.select(F.col("b").alias("cls")).unionByName(pivots.select(F.col("pivot").alias("cls"))).distinct()
+        still = written(still.join(gone, "cls", "left_anti"), "near-still")
+    return links
+
+
 def _tiles(members: DataFrame, least_percent: int) -> DataFrame:
-    """(rep, tile, single): each member of a candidate group in every tile where a link of its can stand.
+    """(cls, tile): each member (cls, root, n_shingles, part) of a large group in every tile where a link that isn't known can stand.
 
-    Sets that differ in size by more than the threshold allows have no link, so a large group is parted by size class,
-    a power of the threshold: only equal and neighbouring classes meet. Classes are parted into blocks by hash.
+    Sets that differ in size by more than the threshold allows have no link, so a group is parted by size class, a power
+    of the threshold: only equal and neighbouring classes meet. Members whose part isn't null are connected with all
+    others of that part already. What has one class and part is dealt into blocks by hash.
     """
     grade = F.floor(F.log(F.col("n_shingles")) / math.log(100 / least_percent) + 1e-9).cast("int")
-    members = members.withColumn("grade", grade)
-    sizes = members.groupBy("root", "grade").agg(F.count("*").alias("n"))
-    total = sizes.groupBy("root").agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("grade", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))).alias("blocks"))
-    m = members.join(total, "root")
-    small = m.filter(F.col("total") <= BLOCK).select("rep", F.xxhash64("root").alias("tile"), F.lit(True).alias("single"))
-    large = m.filter(F.col("total") > BLOCK).withColumn("own", F.expr("cast(pmod(xxhash64(rep, 7), blocks[grade]) as int)"))
-    pairs = F.expr("""
-        concat(transform(sequence(0, blocks[grade] - 1), j -> struct(grade as g, least(own, j) as i, grade as h, greatest(own, j) as j)),
-               if(map_contains_key(blocks, grade + 1), transform(sequence(0, coalesce(blocks[grade + 1], 1) - 1), j -> struct(grade as g, own as i, grade + 1 as h, j as j)), array()),
-               if(map_contains_key(blocks, grade - 1), transform(sequence(0, coalesce(blocks[grade - 1], 1) - 1), j -> struct(grade - 1 as g, j as i, grade as h, own as j)), array()))""")
-    large = large.select("rep", "root", F.explode(pairs).alias("p")).select("rep", F.xxhash64("root", "p.g", "p.i", "p.h", "p.j").alias("tile"), F.lit(False).alias("single"))
-    return small.unionByName(large)
+    members = members.select("cls", "root", grade.alias("grade"), F.coalesce("part", F.lit(-1).cast("long")).alias("part"))
+    sizes = members.groupBy("root", "grade", "part").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    # A group with nothing but one part has no tile.
+    lists = sizes.groupBy("root").agg(F.collect_list(F.struct("grade", "part", "blocks")).alias("lists"), F.count_distinct("part").alias("parts"), F.min("part").alias("least"))
+    lists = lists.filter("parts > 1 or least = -1").select("root", "lists")
+    m = members.join(sizes, ["root", "grade", "part"]).join(lists, "root").withColumn("own", F.expr("cast(pmod(xxhash64(cls, 7), blocks) as int)"))
+    others = F.expr("""
+        flatten(transform(filter(lists, e -> abs(e.grade - grade) <= 1 and (e.part <> part or part = -1)),
+                          e -> transform(sequence(0, e.blocks - 1), j -> array_sort(array(struct(grade, part, own), struct(e.grade as grade, e.part as part, j as own))))))""")
+    return m.select("cls", "root", F.explode(F.array_distinct(others)).alias("p")).select("cls", F.xxhash64("root", "p").alias("tile"))
+
+
+def _compared(texts: DataFrame, tiles: DataFrame, least_percent: int, name: str) -> DataFrame:
+    """(a, b): what connects the members of each tile (cls, tile), by exact links."""
+    dealt = texts.join(tiles, "cls").select("tile", "cls", "text").repartition("tile").sortWithinPartitions("tile")
+    return written(dealt.mapInArrow(_confirm(least_percent), "a long, b long"), name)
 
 
 def near_duplicates(docs: DataFrame, least_percent: int = 80) -> DataFrame:
-    """One row per row of docs (doc_id, text): doc_id, n_shingles, component_id, kept.
+    """One row per row of docs (doc_id, text): doc_id, n_shingles, component_id, kept, text_sha256 (binary).
 
     Sets of five-word shingles are linked when 100 * intersection >= least_percent * union. component_id is the
     smallest doc_id that links reach, itself included; kept where it is the doc_id. Texts without words (null and
     empty ones too) have an empty set and no link. A row with a null doc_id has no name to be linked by: its component
-    is null, and it is kept. Rows repeated with one doc_id are one document if their texts are equal, else each row has
-    the component of its own text. An empty table gives an empty result; other columns are not read.
+    is null, and it is kept. Rows repeated with one doc_id are one document if their sets are equal, else each row has
+    the component of its own text; doc_id and text_sha256 tell them apart. An empty table gives an empty result; other
+    columns are not read.
     """
     need = match_threshold(COORDINATES, least_percent / 100)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = written(docs.mapInArrow(_signatures, "doc_id long, n_shingles long, digest binary, tokens array<long>"), "near-signatures")
+    signed = written(docs.mapInArrow(_signatures, "doc_id long, n_shingles long, sha binary, digest binary, tokens array<long>"), "near-signatures")
     named = signed.filter("doc_id is not null and n_shingles > 0")
-    reps = written(named.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n_shingles"), F.min("tokens").alias("tokens")), "near-classes")
+    classes = named.groupBy("digest").agg(F.min(F.struct("doc_id", "sha")).alias("top"), F.min("n_shingles").alias("n_shingles"), F.min("tokens").alias("tokens"))
+    classes = written(classes.select(F.monotonically_increasing_id().alias("cls"), "digest", "top.doc_id", "top.sha", "n_shingles", "tokens"), "near-classes")
 
-    posted = reps.select("rep", "n_shingles", F.explode("tokens").alias("token"))
+    posted = classes.select("cls", "n_shingles", F.explode("tokens").alias("token"))
     often = posted.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
-    own = posted.join(often, "token").groupBy("rep", "n_shingles").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("common"))
+    own = posted.join(often, "token").groupBy("cls", "n_shingles").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("common"))
     own = own.filter(F.size("common") >= need)
     # Pairs that no other document has come first in the order of rarity, so they use up places of the prefix.
     places = F.size("common") - (need - 1)
-    own = written(own.select("rep", "n_shingles", F.col("common.token").alias("tokens"), F.slice("common", F.lit(1), places).alias("prefix")), "near-prefixes")
-    lists = own.select("rep", "n_shingles", "tokens", F.explode("prefix").alias("p")).select(F.col("p.token").alias("token"), F.col("p.df").alias("df"), "rep", "n_shingles", "tokens")
-    short = lists.filter(F.col("df") <= LONG_LIST).select("token", "rep", "n_shingles", "tokens").repartition("token").sortWithinPartitions("token")
+    weight = F.aggregate("common.df", F.lit(0).cast("long"), lambda t, x: t + x)
+    own = written(own.select("cls", "n_shingles", weight.alias("weight"), F.col("common.token").alias("tokens"), F.slice("common", F.lit(1), places).alias("prefix")), "near-prefixes")
+    lists = own.select("cls", "n_shingles", "tokens", F.explode("prefix").alias("p")).select(F.col("p.token").alias("token"), F.col("p.df").alias("df"), "cls", "n_shingles", "tokens")
+    short = lists.filter(F.col("df") <= LONG_LIST).select("token", "cls", "n_shingles", "tokens").repartition("token").sortWithinPartitions("token")
     counted = short.mapInArrow(_candidates(least_percent, need), "a long, b long")
-    long = lists.filter(F.col("df") > LONG_LIST).select("token", "rep")
-    pivots = long.groupBy("token").agg(F.min("rep").alias("a"))
-    grouped = long.join(pivots, "token").select("a", F.col("rep").alias("b")).distinct()
+    long = lists.filter(F.col("df") > LONG_LIST).select("token", "cls")
+    pivots = long.groupBy("token").agg(F.min("cls").alias("a"))
+    grouped = long.join(pivots, "token").select("a", F.col("cls").alias("b")).distinct()
     groups = components(counted.unionByName(grouped), "near-candidates")
 
-    nodes = groups.select(F.col("node").alias("rep"), "root").unionByName(groups.select(F.col("root").alias("rep"), "root").distinct())
-    members = written(nodes.join(own.select("rep", "n_shingles"), "rep"), "near-members")
-    tiles = _tiles(members, least_percent)
-    bits = docs.sparkSession.sparkContext.broadcast(key_filter(members, "rep"))
+    nodes = groups.select(F.col("node").alias("cls"), "root").unionByName(groups.select(F.col("root").alias("cls"), "root").distinct())
+    members = nodes.join(own.select("cls", "n_shingles", "weight", "tokens"), "cls").join(classes.select("cls", "doc_id", "sha"), "cls")
+    totals = nodes.groupBy("root").agg(F.count("*").alias("total"))
+    members = written(members.join(totals, "root"), "near-members")
+    bits = docs.sparkSession.sparkContext.broadcast(key_filter(members, "doc_id"))
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -267,15 +328,26 @@ def near_duplicates(docs: DataFrame, least_percent: int = 80) -> DataFrame:
             if len(at):
                 yield batch.select([0, 1]).take(pa.array(at))
 
-    texts = docs.filter("doc_id is not null").select(F.col("doc_id").alias("rep"), F.col("text").cast("binary").alias("text"), filter_bit(F.col("doc_id")).alias("bit"))
-    texts = texts.mapInArrow(listed, "rep long, text binary").filter("text is not null")
-    dealt = texts.join(tiles, "rep").select("tile", "single", "rep", "text").repartition("tile").sortWithinPartitions("tile")
-    links = written(dealt.mapInArrow(_confirm(least_percent), "a long, b long, single boolean"), "near-links")
-    whole = links.filter("single").select(F.col("b").alias("rep"), F.col("a").alias("root"))
-    parted = links.filter("not single")
-    if not parted.isEmpty():
-        whole = whole.unionByName(components(parted.select("a", "b"), "near-components").select(F.col("node").alias("rep"), "root"))
-    roots = reps.select("digest", "rep").join(whole, "rep", "left").select("digest", F.coalesce("root", "rep").alias("root"))
-    rows = named.join(roots, "digest").select("doc_id", "n_shingles", F.col("root").alias("component_id"))
-    rows = rows.unionByName(signed.filter("doc_id is null or n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
-    return rows.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    texts = docs.filter("doc_id is not null").select("doc_id", F.col("text").cast("binary").alias("text"), filter_bit(F.col("doc_id")).alias("bit"))
+    texts = texts.mapInArrow(listed, "doc_id long, text binary").filter("text is not null").withColumn("sha", F.unhex(F.sha2("text", 256)))
+    texts = texts.join(members.select("cls", "doc_id", "sha"), ["doc_id", "sha"]).select("cls", "text").dropDuplicates(["cls"])
+    texts = written(texts, "near-texts")
+
+    links = _compared(texts, members.filter(F.col("total") <= BLOCK).select("cls", F.xxhash64("root").alias("tile")), least_percent, "near-links")
+    big = members.filter(F.col("total") > BLOCK)
+    if not big.isEmpty():
+        large = written(big.select("cls", "root", "total", "weight", "tokens").join(texts, "cls"), "near-large")
+        stars = _stars(large, least_percent, need)
+        joined = written(components(stars, "near-joined").select(F.col("node").alias("cls"), F.col("root").alias("part")), "near-parts")
+        parts = joined.unionByName(joined.select(F.col("part").alias("cls"), "part").distinct())
+        wide = parts.groupBy("part").agg(F.count("*").alias("n")).filter(F.col("n") >= BLOCK // 2).select("part")
+        rest = big.select("cls", "root", "n_shingles").join(parts.join(wide, "part"), "cls", "left")
+        links = links.unionByName(stars).unionByName(_compared(texts, _tiles(rest, least_percent), least_percent, "near-links-large"))
+    found = components(links, "near-components").select(F.col("node").alias("cls"), "root")
+    found = found.unionByName(found.select(F.col("root").alias("cls"), "root").distinct())
+    least = found.join(classes.select("cls", "doc_id"), "cls").groupBy("root").agg(F.min("doc_id").alias("component"))
+    roots = classes.select("cls", "digest", "doc_id").join(found.join(least, "root").select("cls", "component"), "cls", "left")
+    roots = roots.select("digest", F.coalesce("component", "doc_id").alias("component_id"))
+    rows = named.join(roots, "digest").select("doc_id", "n_shingles", "component_id", "sha")
+    rows = rows.unionByName(signed.filter("doc_id is null or n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "sha"))
+    return rows.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), F.col("sha").alias("text_sha256"))

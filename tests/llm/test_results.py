@@ -452,6 +452,66 @@ def test_near_duplicates(spark, texts, percent):
         assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
 
 
+def test_one_doc_id_with_two_texts(spark, tmp_path):
+    import corpus_pipeline as p
+
+    base = [f"w{k}" for k in range(300)]
+    near = " ".join(base[:299] + ["other"])
+    docs = spark.createDataFrame([(3, " ".join(base)), (5, near), (5, "nothing like the others, but five words and more"), (9, "a text of its own with some words in it")], "doc_id long, text string")
+    got = {(r["doc_id"], r["n_shingles"]): (r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(docs).collect()}
+    assert sorted(got.values()) == [(3, False), (3, True), (5, True), (9, True)]
+    assert rows(p.near_duplicate_groups(spark, docs, str(tmp_path)), "doc_id", "text") == sorted(tuple(r) for r in docs.collect() if r["text"] != near)
+
+
+def plain_components(sets, percent):
+    """Of shingle sets by name: the smallest name that links reach."""
+    names, group = sorted(sets), {i: i for i in sets}
+
+    def root(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    for x, i in enumerate(names):
+        for j in names[x + 1 :]:
+            both = len(sets[i] & sets[j])
+            if sets[i] and sets[j] and 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                a, b = sorted((root(i), root(j)))
+                group[b] = a
+    return {i: root(i) for i in names}
+
+
+def test_large_groups_of_look_alikes(spark):
+    """Groups beyond a block: copies of one text, chains, and look-alikes below the threshold, which stars can't join."""
+    rng = random.Random(4)
+    data, k = {}, 0
+    for family, edits, size in ((0, 1, 150), (1, 4, 120), (2, 9, 100)):
+        base = [f"f{family}x{i}" for i in range(200)]
+        for _ in range(size):
+            own = list(base)
+            for _ in range(edits):
+                own[rng.randrange(200)] = f"new{rng.randrange(10**6)}"
+            data[k], k = " ".join(own), k + 1
+    chain = [f"c{i}" for i in range(400)]
+    for i in range(100):
+        data[k], k = " ".join(chain[2 * i : 2 * i + 200]), k + 1
+    sets = {i: {tuple(w[j : j + 5]) for j in range(len(w) - 4)} for i, t in data.items() for w in [t.split()]}
+    for percent in (80, 85):
+        got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(spark.createDataFrame(list(data.items()), "doc_id long, text string"), percent).collect()}
+        assert got == plain_components(sets, percent)
+
+
+def test_work_on_a_group_of_copies_grows_with_it(spark):
+    """All of a large group leave as spokes of a star: no tile is left, and chunks get the members once and pivots as often as there are chunks."""
+    base = [f"w{i}" for i in range(400)]
+    for n in (500, 2000):
+        members = spark.range(n).selectExpr("id as cls", "0L as root", f"{n}L as total", "id % 7 as weight", "array(1L, 2L, 3L) as tokens").withColumn("text", F.concat(F.lit(" ".join(base) + " end"), F.col("cls").cast("string")).cast("binary"))
+        stars = near_dedup._stars(members, 85, 3)
+        assert stars.count() == n - 1
+        parts = members.selectExpr("cls", "root", "100L as n_shingles", "1L as part")
+        assert near_dedup._tiles(parts, 85).count() == 0
+
+
 def test_match_threshold():
     t = near_dedup.match_threshold(32, 0.85)
     tail = lambda n: sum(math.comb(32, k) * 0.85**k * 0.15 ** (32 - k) for k in range(n))
