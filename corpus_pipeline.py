@@ -38,9 +38,15 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_duplicate_groups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near duplicates, that with the smallest doc_id."""
-    gone = near_duplicates(docs).filter("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each component of near duplicates, that with the smallest doc_id.
+
+    Rows are told apart by doc_id and text, so other rows with a dropped one's doc_id stay; rows with a null doc_id and
+    texts without words all stay.
+    """
+    gone = near_duplicates(docs).filter("not kept").select("doc_id", "text_sha256").distinct()
+    (sha,) = free_names(docs, "sha")
+    keyed = docs.withColumn(sha, F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)))
+    return keyed.join(gone, (keyed["doc_id"] == gone["doc_id"]) & (keyed[sha] == gone["text_sha256"]), "left_anti").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
