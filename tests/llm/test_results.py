@@ -102,6 +102,74 @@ def test_contexts_discover_unseen_identifiers(spark):
     assert {r["doc_id"] for r in got} == set(range(60, 70)) and got[0]["spans"].startswith("context:23:")
 
 
+def discovered(spark, data):
+    got = pii.find_personal_data(spark.createDataFrame(data, "doc_id long, text string")).filter("n_context > 0").collect()
+    return {r["doc_id"]: [tuple(map(int, x.split(":")[1:])) for x in r["spans"].split(",") if x.startswith("context:")] for r in got}
+
+
+def test_contexts_take_a_second_step_and_identifiers_are_reported_everywhere(spark):
+    data = [(k, f"one mail: user{k}@host{k}.example.org end") for k in range(70)]
+    data += [(100 + k, f"two mail: ab-{k}4455-{k}77 end") for k in range(60)]
+    data += [(200 + k, f"three badge= ab-{k}4455-{k}77 end") for k in range(60)]
+    data += [(300 + k, f"four badge= cd-{k}4455-{k}88 end") for k in range(50)]
+    data += [(400 + k, f"nothing known here ef-{k}4455-{k}99 at all") for k in range(60)]
+    got = discovered(spark, data)
+    assert set(got) == {*range(100, 160), *range(200, 260), *range(300, 350)}
+    assert all(data[[i for i, _ in data].index(k)][1][a:b][:3] in ("ab-", "cd-") for k, x in got.items() for a, b in x)
+
+
+def test_contexts_of_several_words(spark):
+    data = [(k, f"you can write to me under user{k}@host{k}.example.org then") for k in range(30)]
+    data += [(100 + k, f"you can write to me under zz-{k}4455-{k}77 then") for k in range(30)]
+    data += [(200 + k, f"a house under the bridge {k} and what is under 20240{k}000 stays") for k in range(90)]
+    assert set(discovered(spark, data)) == set(range(100, 130))
+
+
+def test_beliefs_against_a_plain_version(spark):
+    rng = random.Random(6)
+    data, seeds = [], set()
+    for k in range(400):
+        kind = rng.randrange(6)
+        person = rng.randrange(10) + 10 * kind
+        name = f"p{person}@x{person}.org" if rng.random() < 0.1 * kind else f"id-{person}{person + 1000}"
+        data.append((k, f"word{(kind + rng.randrange(2)) % 6} {name}" if rng.random() < 0.8 else f"word{kind} plain"))
+    edges, total = collections.defaultdict(collections.Counter), collections.Counter()
+    for _, t in data:
+        word, name = t.split(" ")
+        total[word] += 1
+        if name != "plain":
+            edges[word][name] += 1
+        if "@" in name:
+            seeds.add(name)
+    sure, known = set(seeds), -1
+    while True:
+        conf = {}
+        for w, e in edges.items():
+            good = sum(n for x, n in e.items() if x in sure)
+            if sum(x in sure for x in e) >= 5:
+                conf[w] = good / (good + pii.UNKNOWN * (sum(e.values()) - good) + total[w] - sum(e.values()))
+        conf = {w: c for w, c in conf.items() if c >= 0.55}
+        found = {x for e in edges.values() for x in e if x not in seeds and 1 - math.prod(1 - min(conf[w], 0.999) for w in conf if x in edges[w]) >= 0.55}
+        if len(found) == known:
+            break
+        known, sure = len(found), seeds | found
+    got = pii.find_personal_data(spark.createDataFrame(data, "doc_id long, text string"), confident=0.55).collect()
+    want = {k for k, t in data if t.split(" ")[-1] in found}
+    assert {r["doc_id"] for r in got if r["n_context"]} == want and 20 < len(want) < 280
+
+
+def test_many_matches_in_one_text(spark):
+    import time
+
+    t = " ".join(f"10.{i % 200}.{i % 190}.{i % 180} x{i}" for i in range(16_000))
+    found = lambda n: pii.with_spans(spark.createDataFrame([(1, t[:n])], "doc_id long, text string"), "text", pii.PATTERNS, pii._VALID)
+    found(1000).collect()
+    began = time.perf_counter()
+    (r,) = pii._without_overlaps(found(1 << 30), pii.KINDS[:4]).collect()
+    assert time.perf_counter() - began < 6
+    assert [(s["start"], s["end"]) for s in r["ip"]] == [m.span() for m in IP.finditer(t)] and len(r["ip"]) == 16_000
+
+
 def der(tag, *content):
     body = b"".join(content)
     n = len(body)
