@@ -27,12 +27,27 @@ def even_times(duration: Column, count: Column) -> Column:
     return F.when(n == 1, F.array(F.round(duration * 0.5, 6))).otherwise(F.transform(steps, lambda i: F.round(duration * (0.05 + 0.9 * i / F.greatest(n - 1, F.lit(1))), 6)))
 
 
+def _excerpt(text: Column, budget: Column) -> Column:
+    """The whole text if it fits, else its start, middle and end."""
+    third = F.greatest(F.lit(1), F.floor((budget - 6) / 3)).cast("int")
+    middle = F.greatest(F.lit(0), F.floor(F.length(text) / 2) - F.floor(third / 2)).cast("int")
+    sampled = F.concat(F.left(text, third), F.lit("\n…\n"), F.substring(text, middle + 1, third), F.lit("\n…\n"), F.right(text, third))
+    return F.when(F.length(text) <= budget, text).otherwise(sampled)
+
+
+def balanced_parts(parts: Column, limit: int) -> Column:
+    """Labelled parts (label, text) that share the limit equally; empty ones are left out."""
+    bare = F.transform(parts, lambda p: F.struct(p["label"].alias("label"), F.trim(F.coalesce(p["text"], F.lit("")), F.lit(" \t\n\r\x0b\x0c")).alias("text")))
+    kept = F.filter(bare, lambda p: p["text"] != "")
+    spent = F.aggregate(kept, F.lit(0), lambda t, p: t + F.length(p["label"]) + 4) + 2 * (F.size(kept) - 1)
+    budget = F.greatest(F.lit(1), F.floor((F.lit(limit) - spent) / F.greatest(F.size(kept), F.lit(1)))).cast("int")
+    # Zipped with the budget, so that it is worked out once.
+    dealt = F.zip_with(kept, F.array_repeat(budget, F.size(kept)), lambda p, b: F.concat(F.lit("["), p["label"], F.lit("]\n"), _excerpt(p["text"], b)))
+    return F.when(F.size(kept) > 0, clean_text(F.array_join(dealt, "\n\n"), limit)).otherwise("")
+
+
 def balanced_excerpt(label: Column, text: Column, limit: int) -> Column:
     """One labelled part: whole if it fits the limit, else its start, middle and end."""
     body = F.trim(text, F.lit(" \t\n\r\x0b\x0c"))
-    budget = F.greatest(F.lit(1), F.lit(limit) - F.length(label) - 4)
-    third = F.greatest(F.lit(1), F.floor((budget - 6) / 3)).cast("int")
-    middle = F.greatest(F.lit(0), F.floor(F.length(body) / 2) - F.floor(third / 2)).cast("int")
-    sampled = F.concat(F.left(body, third), F.lit("\n…\n"), F.substring(body, middle + 1, third), F.lit("\n…\n"), F.right(body, third))
-    excerpt = F.when(F.length(body) <= budget, body).otherwise(sampled)
+    excerpt = _excerpt(body, F.greatest(F.lit(1), F.lit(limit) - F.length(label) - 4))
     return F.when(F.coalesce(body, F.lit("")) == "", "").otherwise(clean_text(F.concat(F.lit("["), label, F.lit("]\n"), excerpt), limit))

@@ -34,7 +34,7 @@ def test_listing(spark, tree):
 
 
 def test_one_file_of_each_category(spark):
-    names = ["a.csv", "a.epub", "a.png", "a.mp4", "a.mp3", "a.srt", "a.zip", "a.dmg", "a.ttf", "a.py", "a.unknown"]
+    names = ["plan.odt", "novel.mobi", "scan.webp", "clip.mkv", "song.flac", "film.ass", "back.7z", "setup.msi", "serif.otf", "flake.nix", "blob.zzz"]
     got = classify(spark.createDataFrame([(n,) for n in names], "name string"), extension_table(spark))
     assert got.select("category").distinct().count() == 11
     more = classify(spark.createDataFrame([("x.unknown",)], "name string"), extension_table(spark, {"unknown": "代码"}))
@@ -72,11 +72,34 @@ def test_document_formats(spark):
     assert with_reader["text"] == "page"
 
 
-def test_slices_keep_characters_whole():
-    text, cut = documents.text_file("汉字".encode() * 20_000, 1000)
+def test_slices_keep_characters_whole(spark):
+    df = spark.createDataFrame([("a.txt", "a.txt", bytearray("汉字".encode() * 20_000))], "path string, name string, content binary")
+    text, cut = documents.extracted(df, 1000).select("text", "truncated").head()
     assert cut and "�" not in text and set(text) <= set("汉字[]开头中间结尾…\n")
 
 
+def test_all_extensions_of_code(spark):
+    names = [f"x.{e}" for e in "nix hcl prisma sbt ksh raku erb handlebars jinja2 rmd psm1".split()]
+    got = classify(spark.createDataFrame([(n,) for n in names], "name string"), extension_table(spark))
+    assert got.filter("category <> '代码'").count() == 0 and len(EXTENSIONS) == 489
+
+
+def test_members_and_sheets_are_sampled(spark):
+    """Evenly chosen members and rows; a damaged member is passed over, a damaged sheet makes the file unavailable."""
+    slides = archive(**{f"ppt__slides__slide{k:02}.xml": f"<s><t>slide {k} text</t></s>" for k in range(1, 12)}, ppt__media__x="no")
+    book = archive(**{f"OEBPS__c{k}.xhtml": f"<h><p>chapter {k}</p> tail {k}</h>" for k in range(3)}, **{"OEBPS__broken.xhtml": "<h><p>"})
+    sheet = "<w>" + "".join(f"<row><c><v>{k}</v></c><c t='inlineStr'><is><t>in {k}</t></is></c><c><f>SUM(A1)</f><v>9</v></c></row>" for k in range(101)) + "</w>"
+    xlsx = archive(**{"xl__workbook.xml": "<w><sheet name='One'/></w>", "xl__worksheets__sheet1.xml": sheet, "xl__worksheets__sheet2.xml": "<w><row><c t='b'><v>0</v></c></row></w>"})
+    bad = archive(**{"xl__worksheets__sheet1.xml": "<w><row>"})
+    data = [("s.pptx", slides), ("b.epub", book), ("w.xlsx", xlsx), ("v.xlsx", bad)]
+    got = {r["path"]: r for r in documents.extracted(spark.createDataFrame([(n, n, bytearray(c)) for n, c in data], "path string, name string, content binary"), 3000).collect()}
+    assert got["s.pptx"]["text"] == "\n\n".join(f"[{i}/6 slide{k:02}.xml]\nslide {k} text" for i, k in enumerate((1, 3, 5, 7, 9, 11), 1)) and got["s.pptx"]["truncated"]
+    assert got["b.epub"]["text"] == "\n\n".join(f"[{k + 2}/4 c{k}.xhtml]\nchapter {k}\ntail {k}" for k in range(3))
+    lines = got["w.xlsx"]["text"].split("\n")
+    assert lines[:4] == ["工作表：One", "[One]", "0 | in 0 | SUM(A1)", "5 | in 5 | SUM(A1)"] and lines[-3:] == ["100 | in 100 | SUM(A1)", "[sheet2]", "FALSE"] and len(lines) == 24 and got["w.xlsx"]["truncated"]
+    assert got["v.xlsx"]["method"] == "unavailable" and got["v.xlsx"]["error"] == "damaged sheet"
+
+
 def test_json_tables(spark, tmp_path):
     assert tables.read_json(spark, str(tmp_path / "none"), "a int").count() == 0
     (tmp_path / "x.json").write_text('{"a": 1}\nbroken\n')
