@@ -160,8 +160,8 @@ def lowered(data: np.ndarray) -> np.ndarray:
     return np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
 
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+SPACE = np.zeros(256, bool)
+SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
 def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -170,7 +170,7 @@ def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
         none = np.zeros(0, np.int64)
         return none, none, none
     body = np.zeros(len(data) + 2, np.int8)
-    body[1:-1] = ~_SPACE[data]
+    body[1:-1] = ~SPACE[data]
     step = np.diff(body)
     starts, ends = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
     cuts = np.unique(at[1:-1])

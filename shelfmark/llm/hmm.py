@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, lowered, slices, span_hashes, utf8, words, written
+from .common import SPACE, dropped, lowered, slices, utf8, words, written
 
 #: Latent states; at most 6, since a word's shares of all but the last are packed into one long.
 STATES = 6
@@ -42,9 +42,9 @@ SEGMENT = 1024
 TOGETHER = 1 << 18
 #: Steps of the recursion after which its numbers are scaled; a step takes off a word's probability.
 SCALED = 8
-#: A block is closed when it has so many bytes of text or distinct words.
-BLOCK_BYTES = 32 << 20
-BLOCK_WORDS = 400_000
+#: A block is closed when it has so many bytes of text; one of more distinct words is halved.
+BLOCK_BYTES = 20 << 20
+BLOCK_WORDS = 500_000
 #: The share of each state's emissions that follows the unigram model while the sample is fitted.
 BACKOFF = 0.1
 #: Expected counts are multiples of 1 / UNIT, a word's shares of the states multiples of 1 / SHARES.
@@ -204,36 +204,28 @@ def _updated(pairs: np.ndarray, start: np.ndarray) -> Model:
     return Model(pairs / pairs.sum(axis=1)[:, None], start / start.sum())
 
 
-class Block:
-    """The words of some texts, numbered as they come."""
-
-    def __init__(self) -> None:
-        self.number: dict[bytes, int] = {END: 0}
-        self.order: list[bytes] = [END]
-        self.bytes = 0
-
-    def add(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers of the words of these texts, each text followed by the end, and the texts' lengths with it."""
-        data = lowered(data)
-        starts, ends, text = words(data, at)
-        _, first, inverse = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
-        raw, number, order = data.tobytes(), self.number, self.order
-        of = np.zeros(len(first), np.int32)
-        for k, (a, b) in enumerate(zip(starts[first].tolist(), ends[first].tolist(), strict=True)):
-            word = raw[a:b]
-            n = number.get(word)
-            if n is None:
-                n = number[word] = len(order)
-                order.append(word)
-            of[k] = n
-        counts = np.bincount(text, minlength=len(at) - 1)
-        codes = np.zeros(len(starts) + len(counts), np.int32)
-        keep = np.ones(len(codes), bool)
+def split_words(data: np.ndarray, at: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The words of these texts, lower-cased, and how many each text has."""
+    data = lowered(data)
+    starts, ends, text = words(data, at)
+    offsets = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64)
+    parts = [None, pa.py_buffer(offsets), pa.py_buffer(data[~SPACE[data]])]
+    return pa.Array.from_buffers(pa.large_binary(), len(starts), parts), np.bincount(text, minlength=len(at) - 1)
+
+
+def numbered(runs: list[tuple[pa.Array, np.ndarray]]) -> tuple[pa.Array, list[np.ndarray]]:
+    """The distinct words of some runs of texts, and each run's word numbers, each text followed by the end, which is 0."""
+    found = pa.concat_arrays([pa.array([END], pa.large_binary()), *(w for w, _ in runs)]).dictionary_encode()
+    indices = found.indices.to_numpy()[1:]
+    codes, begin = [], 0
+    for run, counts in runs:
+        own = np.zeros(len(run) + len(counts), np.int32)
+        keep = np.ones(len(own), bool)
         keep[np.cumsum(counts + 1) - 1] = False
-        if len(of):
-            codes[keep] = of[inverse]
-        self.bytes += len(data)
-        return codes, counts + 1
+        own[keep] = indices[begin : begin + len(run)]
+        begin += len(run)
+        codes.append(own)
+    return found.dictionary, codes
 
 
 def fit_sample(texts: list[bytes], states: int) -> tuple[Model, dict[bytes | None, np.ndarray]]:
@@ -242,15 +234,15 @@ def fit_sample(texts: list[bytes], states: int) -> tuple[Model, dict[bytes | Non
     A few texts part the states well, since each begins with a mixture of its own; from there all texts are taken in.
     Of several random beginnings, that with the greatest likelihood is kept.
     """
-    block = Block()
-    both = [block.add(np.frombuffer(text, np.uint8), np.array([0, len(text)])) for text in texts]
-    n = len(block.order)
+    runs = [split_words(np.frombuffer(text, np.uint8), np.array([0, len(text)])) for text in texts]
+    dictionary, every = numbered(runs)
+    n = len(dictionary)
     stay = 0.95
     model = Model(np.full((states, states), (1 - stay) / max(states - 1, 1)), np.full(states, 1 / states))
     np.fill_diagonal(model.trans, stay if states > 1 else 1.0)
-    if not both:
+    if not runs:
         return model, {None: np.full(states, 1 / states)}
-    codes, lengths = np.concatenate([c for c, _ in both]), np.concatenate([x for _, x in both])
+    codes, lengths = np.concatenate(every), np.concatenate([counts + 1 for _, counts in runs])
     rate = np.bincount(codes, minlength=n) / len(codes)
     few = max(1, len(lengths) // 10)
     best = None
@@ -271,7 +263,7 @@ def fit_sample(texts: list[bytes], states: int) -> tuple[Model, dict[bytes | Non
     _, model, counts = best
     mass = counts.sum(axis=1)[:, None]
     share = ((1 - BACKOFF) * counts + BACKOFF * rate * mass) / len(codes) / rate
-    return model, {w: share[:, i] for w, i in block.number.items()} | {None: mass[:, 0] / len(codes)}
+    return model, {w: share[:, i] for i, w in enumerate(dictionary.to_pylist())} | {None: mass[:, 0] / len(codes)}
 
 
 def _sample_task(states: int):
@@ -324,29 +316,42 @@ _BLOCK_COLUMNS = "block long, ids array<long>, lengths array<int>, held array<bo
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each run of documents, and one for each word of a block's dictionary with its count in training documents."""
     number = TaskContext.get().partitionId() << 20
-    block, counts = Block(), np.zeros(1, np.int64)
-
-    def dictionary() -> Iterator[pa.RecordBatch]:
-        for a in range(0, len(block.order), BATCH_ROWS):
-            part = block.order[a : a + BATCH_ROWS]
+    of = lambda k, values: pa.array(values, _BLOCKS.field(k).type)
+
+    def closed(runs: list[tuple], keys: list[list], flags: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        nonlocal number
+        dictionary, codes = numbered(runs)
+        if len(dictionary) > BLOCK_WORDS and len(runs) > 1:
+            half = len(runs) // 2
+            del dictionary, codes
+            yield from closed(runs[:half], keys[:half], flags[:half])
+            yield from closed(runs[half:], keys[half:], flags[half:])
+            return
+        counts = np.zeros(len(dictionary), np.int64)
+        for own, (_, sizes), ids, held in zip(codes, runs, keys, flags, strict=True):
+            counts += np.bincount(own[~np.repeat(held, sizes + 1)], minlength=len(counts))
+            row = [of("block", [number]), of("ids", [ids]), of("lengths", [(sizes + 1).astype(np.int32)]), of("held", [held]), of("codes", [_packed(own)])]
+            yield pa.RecordBatch.from_arrays([*row, *(pa.nulls(1, _BLOCKS.field(k).type) for k in ("pos", "word", "n"))], schema=_BLOCKS)
+        for a in range(0, len(dictionary), BATCH_ROWS):
+            part = dictionary.slice(a, BATCH_ROWS).cast(pa.binary()).cast(pa.string())
             n = len(part)
-            none = (pa.nulls(n, _BLOCKS.field(k).type) for k in range(1, 5))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, number)), *none, pa.array(np.arange(a, a + n, dtype=np.int32)), pa.array(part, pa.binary()).cast(pa.string()), pa.array(counts[a : a + n])], schema=_BLOCKS)
+            none = (pa.nulls(n, _BLOCKS.field(k).type) for k in ("ids", "lengths", "held", "codes"))
+            yield pa.RecordBatch.from_arrays([of("block", np.full(n, number)), *none, of("pos", np.arange(a, a + n, dtype=np.int32)), part, of("n", counts[a : a + n])], schema=_BLOCKS)
+        number += 1
 
+    runs, keys, flags, size = [], [], [], 0
     for batch in batches:
         for part in slices(batch):
-            ids = part.column(0).to_pylist()
-            held = held_out(ids)
-            codes, lengths = block.add(*utf8(part.column("text")))
-            counts = np.concatenate([counts, np.zeros(len(block.order) - len(counts), np.int64)])
-            counts += np.bincount(codes[~np.repeat(held, lengths)], minlength=len(counts))
-            row = [pa.array([number]), pa.array([ids], _BLOCKS.field("ids").type), pa.array([lengths.astype(np.int32)], _BLOCKS.field("lengths").type), pa.array([held], _BLOCKS.field("held").type), pa.array([_packed(codes)], pa.binary())]
-            yield pa.RecordBatch.from_arrays([*row, *(pa.nulls(1, _BLOCKS.field(k).type) for k in range(5, 8))], schema=_BLOCKS)
-            if block.bytes >= BLOCK_BYTES or len(block.order) >= BLOCK_WORDS:
-                yield from dictionary()
-                block, counts, number = Block(), np.zeros(1, np.int64), number + 1
-    if block.bytes or counts.any() or len(block.order) > 1:
-        yield from dictionary()
+            data, at = utf8(part.column("text"))
+            runs.append(split_words(data, at))
+            keys.append(part.column(0).to_pylist())
+            flags.append(held_out(keys[-1]))
+            size += len(data)
+            if size >= BLOCK_BYTES:
+                yield from closed(runs, keys, flags)
+                runs, keys, flags, size = [], [], [], 0
+    if runs:
+        yield from closed(runs, keys, flags)
 
 
 def _emissions(counts: np.ndarray, shares: np.ndarray, totals: dict, states: int) -> tuple[np.ndarray, np.ndarray]:
