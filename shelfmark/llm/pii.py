@@ -1,6 +1,6 @@
 """Personal data: base patterns, and contextual extraction bootstrapped from them. DataFrame functions only.
 
-Base spans seed a bipartite graph of lexical patterns (the one, two or three words before or after an identifier) and
+Base spans seed a bipartite graph of lexical patterns (the word before or after an identifier) and
 instances (the identifier itself). A pattern's confidence is the share of its occurrences in the corpus that stand at
 identifiers believed in; occurrences at words that only look like identifiers count UNKNOWN times, all others once. An
 unseen instance is believed in if its confident patterns together suggest it (noisy or). The scores are updated in
@@ -23,14 +23,8 @@ SUPPORT = 5
 CONFIDENT = 0.8
 #: What an occurrence at a word of unknown kind takes away, where one at a word that can't be an identifier takes 1.
 UNKNOWN = 0.25
-#: Words of the longest pattern.
-WORDS = 3
-#: Characters before and after a span in which its neighbouring words are looked for; a longer word makes no pattern.
-NEAR = 256
-#: Bits of the filter that picks the corpus's words for the count of patterns; more patterns let more words through.
-FILTER_BITS = 1 << 16
-#: Matches whose positions are summed up together.
-RUN = 256
+#: Characters before and after a span in which its neighbouring words are looked for.
+NEAR = 48
 
 # The base patterns, written so that no run of characters is scanned again from each of its characters: possessive
 # repeats, and a start where a run starts or the last match ended.
@@ -77,66 +71,33 @@ _MAY = {
 }
 
 
-def _running(x: Column, op) -> Column:
-    """Running sums or maxima of numbers from 0 on, in runs of RUN: arrays can only be copied to grow, which would take the square of their length."""
-
-    def grown(part: Column, begin: Column) -> Column:
-        kind = "struct<total:int,out:array<int>>"
-        step = lambda acc, n: F.struct(op(acc["total"], n).alias("total"), F.array_append(acc["out"], op(acc["total"], n)).alias("out")).cast(kind)
-        return F.aggregate(part, F.struct(begin.alias("total"), F.array().alias("out")).cast(kind), step, lambda acc: acc["out"])
-
-    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / RUN).cast("int")), lambda k: F.slice(x, k * RUN + 1, F.lit(RUN)))
-    totals = F.transform(runs, lambda r: F.aggregate(r, F.lit(0), op))
-    before = F.concat(F.array(F.lit(0)), grown(totals, F.lit(0)))
-    return F.flatten(F.zip_with(runs, F.slice(before, F.lit(1), F.size(runs)), grown))
-
-
-def _sum(a: Column, b: Column) -> Column:
-    return a + b
-
-
-def _most(a: Column, b: Column) -> Column:
-    return F.greatest(a, b)
-
-
-def _near(gap: Column, left: bool) -> Column:
-    """The patterns at a span's side, "L1 word" and so on, from the text between it and its neighbour, nearest word first."""
-    piece = F.substring(gap, -NEAR, NEAR) if left else F.substring(gap, 1, NEAR)
-    words = F.filter(F.split(F.lower(piece), r"\s+"), lambda w: w != "")
-    # The outermost word may be cut.
-    whole = F.when(F.length(gap) > NEAR, F.slice(words, F.lit(2 if left else 1), F.greatest(F.size(words) - 1, F.lit(0)))).otherwise(words)
-    number = F.least(F.size(whole), F.lit(WORDS))
-    of = lambda k: F.slice(whole, F.size(whole) - k + 1, k) if left else F.slice(whole, F.lit(1), k)
-    named = F.transform(F.sequence(F.lit(1), number), lambda k: F.concat(F.lit("L" if left else "R"), k.cast("string"), F.lit(" "), F.array_join(of(k), " ")))
-    return F.when(number > 0, named).otherwise(F.array().cast("array<string>"))
-
-
 def with_spans(rows: DataFrame, text: str, patterns: dict[str, str], valid: dict) -> DataFrame:
-    """Adds to rows one array for each pattern: structs of start, end (code points), hit, and near, the lexical patterns beside it.
+    """Adds to rows one array for each pattern: structs of start, end (code points), hit, and the words left and right.
 
     The texts between the matches are what is left when a mark, which is taken out of the text first, replaces them;
     lengths of those and of the matches give the positions.
     """
     t, mark = F.col(text), "\u0001"
-    kind = "array<struct<start:int,end:int,hit:string,near:array<string>>>"
     rows = rows.withColumns({f"{k}_hits": F.when(_MAY.get(k, lambda x: F.lit(True))(t), F.regexp_extract_all(t, F.lit(p), F.lit(0))) for k, p in patterns.items()})
     rows = rows.withColumns({f"{k}_gaps": F.when(F.size(f"{k}_hits") > 0, F.split(F.regexp_replace(F.translate(t, mark, "\u0002"), F.lit(p), F.lit(mark)), mark, -1)) for k, p in patterns.items()})
-    lengths = {k: F.zip_with(f"{k}_hits", F.slice(f"{k}_gaps", F.lit(1), F.size(f"{k}_hits")), lambda h, g: F.length(h) + F.length(g)) for k in patterns}
-    rows = rows.withColumns({f"{k}_lengths": F.when(F.size(f"{k}_hits") > 0, lengths[k]) for k in patterns})
-    rows = rows.withColumns({f"{k}_ends": F.when(F.size(f"{k}_hits") > 0, _running(F.col(f"{k}_lengths"), _sum)) for k in patterns})
 
     def spans(k: str) -> Column:
-        hits, gaps, ends = F.col(f"{k}_hits"), F.col(f"{k}_gaps"), F.col(f"{k}_ends")
+        hits, gaps = F.col(f"{k}_hits"), F.col(f"{k}_gaps")
+        kind = "struct<pos:int,out:array<struct<start:int,end:int,hit:string,left:string,right:string>>>"
 
-        def one(end: Column, i: Column) -> Column:
-            hit = F.get(hits, i)
-            near = F.concat(_near(F.get(gaps, i), True), _near(F.get(gaps, i + 1), False))
-            return F.when(valid[k](hit), F.struct((end - F.length(hit)).alias("start"), end.alias("end"), hit.alias("hit"), near.alias("near")))
+        def step(acc: Column, i: Column) -> Column:
+            start = acc["pos"] + F.length(F.get(gaps, i))
+            end = start + F.length(F.get(hits, i))
+            left = F.regexp_extract(F.lower(F.substring(F.get(gaps, i), -NEAR, NEAR)), r"(\S+)\s*$", 1)
+            right = F.regexp_extract(F.lower(F.substring(F.get(gaps, i + 1), 1, NEAR)), r"^\s*(\S+)", 1)
+            one = F.struct(start.alias("start"), end.alias("end"), F.get(hits, i).alias("hit"), left.alias("left"), right.alias("right"))
+            return F.struct(end.alias("pos"), F.when(valid[k](F.get(hits, i)), F.concat(acc["out"], F.array(one))).otherwise(acc["out"]).alias("out")).cast(kind)
 
-        found = F.filter(F.transform(ends, one), lambda s: s.isNotNull())
-        return F.when(F.size(hits) > 0, found).otherwise(F.array()).cast(kind)
+        empty = F.struct(F.lit(0).alias("pos"), F.array().alias("out")).cast(kind)
+        found = F.aggregate(F.sequence(F.lit(0), F.size(hits) - 1), empty, step, lambda acc: acc["out"])
+        return F.when(F.size(hits) > 0, found).otherwise(F.array().cast("array<struct<start:int,end:int,hit:string,left:string,right:string>>"))
 
-    return rows.withColumns({k: spans(k) for k in patterns}).drop(*(f"{k}_{x}" for k in patterns for x in ("hits", "gaps", "lengths", "ends")))
+    return rows.withColumns({k: spans(k) for k in patterns}).drop(*(f"{k}_{x}" for k in patterns for x in ("hits", "gaps")))
 
 
 def _listed(arrays: list[tuple[str, Column]]) -> Column:
@@ -152,51 +113,16 @@ def _listed(arrays: list[tuple[str, Column]]) -> Column:
 
 def _graph(found: DataFrame, base: tuple[str, ...], support: int) -> DataFrame:
     """(pattern, instance, seed, n): how often the pattern stands at the instance. Patterns of fewer than `support` instances can't count."""
-    seeds = F.transform(F.concat(*(F.col(k) for k in base)), lambda s: F.struct(s["hit"].alias("hit"), s["near"].alias("near"), F.lit(True).alias("seed")))
-    others = F.transform("context", lambda s: F.struct(s["hit"].alias("hit"), s["near"].alias("near"), F.lit(False).alias("seed")))
+    near = lambda s: F.array(F.concat(F.lit("L "), s["left"]), F.concat(F.lit("R "), s["right"]))
+    seeds = F.transform(F.concat(*(F.col(k) for k in base)), lambda s: F.struct(s["hit"].alias("hit"), near(s).alias("near"), F.lit(True).alias("seed")))
+    others = F.transform("context", lambda s: F.struct(s["hit"].alias("hit"), near(s).alias("near"), F.lit(False).alias("seed")))
     spans = found.select(F.explode(F.concat(seeds, others)).alias("x"))
-    edges = spans.select(F.lower("x.hit").alias("instance"), F.col("x.seed").alias("seed"), F.explode("x.near").alias("pattern"))
+    edges = spans.select(F.lower("x.hit").alias("instance"), F.col("x.seed").alias("seed"), F.explode("x.near").alias("pattern")).filter(F.length("pattern") > 2)
     edges = written(edges.groupBy("pattern", "instance").agg(F.bool_or("seed").alias("seed"), F.count("*").alias("n")), "pii-edges")
     enough = edges.groupBy("pattern").agg(F.count("*").alias("instances"), F.sum("n").alias("beside")).filter(F.col("instances") >= support)
     return written(edges.join(enough.select("pattern", "beside"), "pattern"), "pii-graph")
 
 
-def _bits(hashes: DataFrame, name: str) -> Column:
-    """Which of FILTER_BITS hold one of the hashes, as an array of longs; there are FILTER_BITS rows to collect at most."""
-    bits = [0] * (FILTER_BITS // 64)
-    for r in hashes.select(F.pmod(F.col(name), F.lit(FILTER_BITS)).cast("int").alias("bit")).distinct().collect():
-        bits[r["bit"] >> 6] |= 1 << (r["bit"] & 63)
-    signed = (b - (1 << 64) if b >> 63 else b for b in bits)
-    return F.split(F.lit(",".join(map(str, signed))), ",").cast("array<long>")
-
-
-def _holds(bits: Column, h: Column) -> Column:
-    bit = F.pmod(h, F.lit(FILTER_BITS)).cast("int")
-    return F.call_function("bit_get", F.get(bits, F.shiftright(bit, 6)), bit.bitwiseAND(F.lit(63))) == 1
-
-
-def _occurrences(texts: DataFrame, patterns: DataFrame) -> DataFrame:
-    """(pattern, total): how often the words of patterns (pattern, ...) follow one another in all texts.
-
-    Words and runs of words that no pattern has are left out by two filters before anything is counted.
-    """
-    wanted = patterns.select("pattern", F.substring("pattern", 4, 1 << 20).alias("run"), F.substring("pattern", 1, 1).alias("side"))
-    nearest = F.when(F.col("side") == "L", F.substring_index("run", " ", -1)).otherwise(F.substring_index("run", " ", 1))
-    near_bits, run_bits = _bits(wanted.select(F.xxhash64(nearest).alias("h")), "h"), _bits(wanted.select(F.xxhash64("run").alias("h")), "h")
-    words = texts.select(F.split(F.lower("text"), r"\s+").alias("words"))
-    at = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: _holds(near_bits, F.xxhash64(F.get("words", i))))
-    marked = words.select("words", at.alias("places")).filter(F.size("places") > 0)
-    # Runs are told apart by side, since only those that end (L) or begin (R) with the nearest word count.
-    def beside(side: str, k: int) -> Column:
-        fits = lambda i: (i + k <= F.size("words")) if side == "R" else (i + 1 >= k)
-        run = lambda i: F.array_join(F.slice("words", i + 1 if side == "R" else i + 2 - k, F.lit(k)), " ")
-        return F.transform(F.filter("places", fits), lambda i: F.struct(F.lit(f"{side}{k} ").alias("name"), run(i).alias("run")))
-
-    found = F.concat(*(beside(side, k) for side in "LR" for k in range(1, WORDS + 1)))
-    runs = marked.select(F.filter(found, lambda r: _holds(run_bits, F.xxhash64(r["run"]))).alias("runs"))
-    return runs.select(F.explode("runs").alias("r")).groupBy(F.concat("r.name", "r.run").alias("pattern")).agg(F.count("*").alias("total"))
-
-
 def _scored(graph: DataFrame, totals: DataFrame, support: int, confident: float) -> DataFrame:
     """(instance) unseen ones that are believed in once patterns and instances, scored in turn, stand still.
 
@@ -219,47 +145,27 @@ def _scored(graph: DataFrame, totals: DataFrame, support: int, confident: float)
         believed = graph.join(found.withColumn("found", F.lit(True)), "instance", "left").withColumn("sure", F.col("seed") | F.coalesce("found", F.lit(False)))
 
 
-def _without_overlaps(found: DataFrame, base: tuple[str, ...]) -> DataFrame:
-    """found, of whose context spans only those stay that overlap no base span.
-
-    All spans of a text are put in order; the furthest end of the base spans before one, and the next start of those
-    after it, tell whether it overlaps any.
-    """
-    far, kind = (1 << 31) - 1, "array<struct<start:int,kind:int,end:int,at:int>>"
-    entry = lambda s, k, i: F.struct(s["start"].alias("start"), F.lit(k).alias("kind"), s["end"].alias("end"), i.alias("at"))
-    known = F.concat(*(F.transform(k, lambda s: entry(s, 0, F.lit(0))) for k in base)).cast(kind)
-    both = (F.size("context") > 0) & (sum((F.size(k) for k in base[1:]), F.size(base[0])) > 0)
-    found = found.withColumn("_all", F.when(both, F.array_sort(F.concat(known, F.transform("context", lambda s, i: entry(s, 1, i)).cast(kind)))))
-    found = found.withColumns({
-        "_ends": F.transform("_all", lambda s: F.when(s["kind"] == 0, s["end"]).otherwise(0)),
-        "_starts": F.transform(F.reverse("_all"), lambda s: F.when(s["kind"] == 0, far - s["start"]).otherwise(0)),
-    })
-    found = found.withColumns({"_before": _running(F.col("_ends"), _most), "_after": F.reverse(_running(F.col("_starts"), _most))})
-    # Zipped, since a column that a lambda reads only once would be worked out in it again for every element.
-    rows = F.arrays_zip(F.col("_all").alias("s"), F.col("_before").alias("b"), F.col("_after").alias("a"))
-    apart = F.filter(rows, lambda r: (r["s"]["kind"] == 1) & (r["b"] <= r["s"]["start"]) & (far - r["a"] >= r["s"]["end"]))
-    kept = F.transform(apart, lambda r: F.get("context", r["s"]["at"]))
-    out = found.withColumn("context", F.when(F.isnotnull("_all"), kept).otherwise(F.col("context")))
-    return out.drop("_all", "_ends", "_starts", "_before", "_after")
-
-
 def find_personal_data(docs: DataFrame, support: int = SUPPORT, confident: float = CONFIDENT) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, n_email, n_ip, n_card, n_phone, n_context, base_sha256, spans.
 
     Spans are kind:start:end in code points, comma-joined by start and kind; base_sha256 is that of the four base kinds
     alone. Rows are independent but for the patterns learnt: repeated rows, ties and null identifiers keep rows of
     their own; a null or empty text has no spans; an empty table gives an empty result; other columns are not read.
-    The work on a very long text is linear but for its matches, which take the power 3/2 beyond RUN squared of them.
-    Words of more than NEAR characters make no pattern.
+    Work on one text grows with its length, and with the square of its matches (arrays are copied to grow). Words of
+    more than NEAR characters make no pattern with a count of their own.
     """
     base = KINDS[:4]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     found = with_spans(rows, "text", PATTERNS, _VALID).drop("text")
-    found = _without_overlaps(found, base)
+    known = F.concat(*(F.col(k) for k in base))
+    found = found.withColumn("known", F.transform(known, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+    found = found.withColumn("context", F.filter("context", lambda c: ~F.exists("known", lambda s: (s["start"] < c["end"]) & (c["start"] < s["end"])))).drop("known")
     found = written(found.withColumn("row", F.monotonically_increasing_id()), "pii-found")
 
     graph = _graph(found, base, support)
-    discovered = _scored(graph, _occurrences(rows, graph.select("pattern").distinct()), support, confident)
+    words = rows.select(F.explode(F.split(F.lower("text"), r"\s+")).alias("word")).groupBy("word").agg(F.count("*").alias("total"))
+    patterns = graph.select("pattern").distinct().withColumn("word", F.substring("pattern", 3, 1 << 20))
+    discovered = _scored(graph, patterns.join(words, "word").select("pattern", "total"), support, confident)
     unseen = found.filter(F.size("context") > 0).select("row", F.explode("context").alias("c")).select("row", "c.start", "c.end", F.lower("c.hit").alias("instance"))
     more = unseen.join(discovered, "instance").groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("more"))
     out = found.join(more, "row", "left").withColumn("more", F.coalesce("more", F.array().cast("array<struct<start:int,end:int>>")))

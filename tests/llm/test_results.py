@@ -118,13 +118,6 @@ def test_contexts_take_a_second_step_and_identifiers_are_reported_everywhere(spa
     assert all(data[[i for i, _ in data].index(k)][1][a:b][:3] in ("ab-", "cd-") for k, x in got.items() for a, b in x)
 
 
-def test_contexts_of_several_words(spark):
-    data = [(k, f"you can write to me under user{k}@host{k}.example.org then") for k in range(30)]
-    data += [(100 + k, f"you can write to me under zz-{k}4455-{k}77 then") for k in range(30)]
-    data += [(200 + k, f"a house under the bridge {k} and what is under 20240{k}000 stays") for k in range(90)]
-    assert set(discovered(spark, data)) == set(range(100, 130))
-
-
 def test_beliefs_against_a_plain_version(spark):
     rng = random.Random(6)
     data, seeds = [], set()
@@ -158,18 +151,6 @@ def test_beliefs_against_a_plain_version(spark):
     assert {r["doc_id"] for r in got if r["n_context"]} == want and 20 < len(want) < 280
 
 
-def test_many_matches_in_one_text(spark):
-    import time
-
-    t = " ".join(f"10.{i % 200}.{i % 190}.{i % 180} x{i}" for i in range(16_000))
-    found = lambda n: pii.with_spans(spark.createDataFrame([(1, t[:n])], "doc_id long, text string"), "text", pii.PATTERNS, pii._VALID)
-    found(1000).collect()
-    began = time.perf_counter()
-    (r,) = pii._without_overlaps(found(1 << 30), pii.KINDS[:4]).collect()
-    assert time.perf_counter() - began < 6
-    assert [(s["start"], s["end"]) for s in r["ip"]] == [m.span() for m in IP.finditer(t)] and len(r["ip"]) == 16_000
-
-
 def der(tag, *content):
     body = b"".join(content)
     n = len(body)
