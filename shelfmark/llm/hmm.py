@@ -43,8 +43,8 @@ TOGETHER = 1 << 18
 #: Steps of the recursion after which its numbers are scaled; a step takes off a word's probability.
 SCALED = 8
 #: A block is closed when it has so many bytes of text; one of more distinct words is halved.
-BLOCK_BYTES = 20 << 20
-BLOCK_WORDS = 500_000
+BLOCK_BYTES = 14 << 20
+BLOCK_WORDS = 300_000
 #: The share of each state's emissions that follows the unigram model while the sample is fitted.
 BACKOFF = 0.1
 #: Expected counts are multiples of 1 / UNIT, a word's shares of the states multiples of 1 / SHARES.
