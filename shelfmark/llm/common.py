@@ -17,6 +17,9 @@ CHUNK_BYTES = 1 << 20
 
 #: Removes the shuffle files of a query when it has ended; what it wrote doesn't need them.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: What a table may take to be broadcast through the driver: by an estimate, and as measured by a stage that has ended.
+_ESTIMATED = "spark.sql.autoBroadcastJoinThreshold"
+_MEASURED = "spark.sql.adaptive.autoBroadcastJoinThreshold"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,20 +36,24 @@ def written(df: DataFrame, name: str, *sort: str) -> DataFrame:
     """df as a table in the shared folder: its lineage is cut, and any executor can be lost afterwards.
 
     The table stays until dropped() or the end of the application; the query's shuffle files go when it has ended.
+    Tables are broadcast only by their measured size: estimates go by compressed files and don't see what explode adds.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/llm-{name}-{uuid.uuid4().hex[:12]}"
     if sort:
         df = df.sortWithinPartitions(*sort)
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
+    before = {key: spark.conf.get(key, None) for key in (_CLEANUP, _ESTIMATED, _MEASURED)}
+    held = {_CLEANUP: "true", _ESTIMATED: "-1", _MEASURED: before[_MEASURED] or spark.conf.get(_ESTIMATED)}
     try:
+        for key, value in held.items():
+            spark.conf.set(key, value)
         df.write.parquet(path)
     finally:
-        if before is None:
-            spark.conf.unset(_CLEANUP)
-        else:
-            spark.conf.set(_CLEANUP, before)
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
     out = spark.read.schema(df.schema).parquet(path)
     if not _tables:
         atexit.register(_forget)

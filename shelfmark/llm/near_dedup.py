@@ -344,7 +344,8 @@ def near_duplicates(docs: DataFrame, least_percent: int = 80) -> DataFrame:
         rest = big.select("cls", "root", "n_shingles").join(parts.join(wide, "part"), "cls", "left")
         links = links.unionByName(stars).unionByName(_compared(texts, _tiles(rest, least_percent), least_percent, "near-links-large"))
     found = components(links, "near-components").select(F.col("node").alias("cls"), "root")
-    found = found.unionByName(found.select(F.col("root").alias("cls"), "root").distinct())
+    # The last query isn't written here, so it is told that the members of components aren't broadcast.
+    found = found.unionByName(found.select(F.col("root").alias("cls"), "root").distinct()).hint("merge")
     least = found.join(classes.select("cls", "doc_id"), "cls").groupBy("root").agg(F.min("doc_id").alias("component"))
     roots = classes.select("cls", "digest", "doc_id").join(found.join(least, "root").select("cls", "component"), "cls", "left")
     roots = roots.select("digest", F.coalesce("component", "doc_id").alias("component_id"))

@@ -561,6 +561,25 @@ def test_work_on_a_group_of_copies_grows_with_it(spark):
         assert near_dedup._tiles(parts, 85).count() == 0
 
 
+def test_tables_are_broadcast_only_by_their_measured_size(spark):
+    """An estimate takes the exploded rows of a small file to be small."""
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    try:
+        lists = common.written(spark.range(400).selectExpr("id", "sequence(id, id + 999) as tokens"), "test-lists")
+        posted = lists.select("id", F.explode("tokens").alias("token"))
+        often = posted.groupBy("token").agg(F.count("*").alias("df"))
+        joined = posted.join(often, "token")
+        assert "BroadcastHashJoin" in joined._jdf.queryExecution().executedPlan().toString()
+        before = common.written(joined, "test-joined").count()
+        assert before == 400_000 and spark.conf.get("spark.sql.adaptive.autoBroadcastJoinThreshold") == "-1"
+        jvm, store = spark.sparkContext._jsc.sc(), spark._jsparkSession.sharedState().statusStore()
+        jvm.listenerBus().waitUntilEmpty(30_000)
+        plans = [p for x in range(store.executionsList().size()) if "llm-test-joined" in (p := store.executionsList().apply(x).physicalPlanDescription())]
+        assert any("SortMergeJoin" in p for p in plans) and not any("BroadcastHashJoin" in p for p in plans)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+
+
 def test_match_threshold():
     t = near_dedup.match_threshold(32, 0.85)
     tail = lambda n: sum(math.comb(32, k) * 0.85**k * 0.15 ** (32 - k) for k in range(n))
