@@ -2,10 +2,11 @@
 forward recursion.
 
 A text is a sequence of words and one end. A first pass lays documents out as blocks: word numbers of each document, and
-the block's dictionary as one flat row for each of its words. Emissions are a table as large as the vocabulary and never
-in one place. In every round blocks get the rows of their own words by a join, compute the expected counts of their
-training documents, and the counts of all blocks add up, word by word, to the emissions of the next round. A model of a
-bounded sample, fitted in one task, only breaks the symmetry of the states before the first round.
+the block's dictionary, dealt into shards by the words' hash. The vocabulary is never in one place: a shard numbers its
+own words and holds their counts. In every round a block gets one packed row from each shard for its own words, computes
+the expected counts of its training documents and sends one packed row back to each; shards add them up, word by word,
+to the emissions of the next round. A model of a bounded sample, fitted in one task, only breaks the symmetry of the
+states before the first round.
 
 Within a block, texts are cut into segments that are worked on side by side. A long text's segments get their exact
 starts and ends from transfer matrices, so a long text costs no more steps than a short one.
@@ -19,11 +20,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, dropped, lowered, slices, utf8, words, written
+from .common import SPACE, dropped, lowered, slices, span_hashes, utf8, words, written
 
 #: Latent states; at most 6, since a word's shares of all but the last are packed into one long.
 STATES = 6
@@ -45,19 +47,19 @@ SCALED = 8
 #: A block is closed when it has so many bytes of text; one of more distinct words is halved.
 BLOCK_BYTES = 14 << 20
 BLOCK_WORDS = 300_000
+#: Bytes of text for each of which the vocabulary gets a shard.
+SHARD_BYTES = 16 << 20
 #: The share of each state's emissions that follows the unigram model while the sample is fitted.
 BACKOFF = 0.1
 #: Expected counts are multiples of 1 / UNIT, a word's shares of the states multiples of 1 / SHARES.
 UNIT = 256
 SHARES = (1 << 12) - 1
-#: Bits of a word's count where it shares a long with the word's number in its block.
-COUNT_BITS = 44
+#: Groups in which the blocks' expected transitions are added up.
+SIDE_GROUPS = 16
 #: Expected transitions, starts and logarithms are multiples of 1 / SIDE_UNIT.
 SIDE_UNIT = 1 << 20
 #: The end of a text in the dictionary; no word is a line feed.
 END = b"\n"
-#: Rows of a record batch of a dictionary.
-BATCH_ROWS = 1 << 14
 
 
 class Model:
@@ -266,7 +268,13 @@ def fit_sample(texts: list[bytes], states: int) -> tuple[Model, dict[bytes | Non
     return model, {w: share[:, i] for i, w in enumerate(dictionary.to_pylist())} | {None: mass[:, 0] / len(codes)}
 
 
-def _sample_task(states: int):
+def _sharded(dictionary: pa.Array, shards: int) -> np.ndarray:
+    """The shard of each word."""
+    data, at = utf8(dictionary)
+    return (span_hashes(data, at[:-1], at[1:]) % np.uint64(shards)).astype(np.int32)
+
+
+def _sample_task(states: int, shards: int):
     """One row for each word of the sample, and side rows: the model's, and the shares of words that aren't in the sample."""
 
     def group(table: pa.Table) -> pa.Table:
@@ -275,9 +283,9 @@ def _sample_task(states: int):
         names, values = list(share), [np.rint(SIDE_UNIT * v).astype(np.int64) for v in share.values()]
         side = np.rint(np.vstack([model.trans, model.before, others]) * SIDE_UNIT).astype(np.int64)
         columns = np.array([*values, *side], np.int64).reshape(-1, states)
-        words = pa.array([*names, *[b""] * (states + 2)], pa.binary()).cast(pa.string())
+        words = pa.array([*names, *[b""] * (states + 2)], pa.binary())
         rank = pa.array([None] * len(names) + list(range(states + 2)), pa.int32())
-        return pa.table([words, rank, *(pa.array(columns[:, k]) for k in range(states))], names=["word", "side", *_names(states)])
+        return pa.table([words, pa.array(_sharded(words, shards)), rank, *(pa.array(columns[:, k]) for k in range(states))], names=["word", "shard", "side", *_names(states)])
 
     return group
 
@@ -309,17 +317,18 @@ def held_out(ids: list) -> np.ndarray:
     return np.array([zlib.crc32(b"" if i is None else str(i).encode()) % 5 == 1 for i in ids], bool)
 
 
-_BLOCKS = pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())), ("held", pa.list_(pa.bool_())), ("codes", pa.binary()), ("pos", pa.int32()), ("word", pa.string()), ("n", pa.int64())])
-_BLOCK_COLUMNS = "block long, ids array<long>, lengths array<int>, held array<boolean>, codes binary, pos int, word string, n long"
+_BLOCKS = pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())), ("held", pa.list_(pa.bool_())), ("codes", pa.binary()), ("shard", pa.int32()), ("words", pa.binary()), ("sizes", pa.binary()), ("n", pa.binary())])
+_BLOCK_COLUMNS = "block long, ids array<long>, lengths array<int>, held array<boolean>, codes binary, shard int, words binary, sizes binary, n binary"
+
 
+def _blocks(shards: int):
+    """A row for each run of documents, and one for each shard of a block's dictionary, which is numbered shard by shard.
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each run of documents, and one for each word of a block's dictionary with its count in training documents."""
-    number = TaskContext.get().partitionId() << 20
+    The latter has the words one after the other, their sizes, and their counts in training documents.
+    """
     of = lambda k, values: pa.array(values, _BLOCKS.field(k).type)
 
-    def closed(runs: list[tuple], keys: list[list], flags: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        nonlocal number
+    def closed(runs: list[tuple], keys: list[list], flags: list[np.ndarray]) -> Iterator[list[pa.RecordBatch]]:
         dictionary, codes = numbered(runs)
         if len(dictionary) > BLOCK_WORDS and len(runs) > 1:
             half = len(runs) // 2
@@ -327,31 +336,50 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield from closed(runs[:half], keys[:half], flags[:half])
             yield from closed(runs[half:], keys[half:], flags[half:])
             return
-        counts = np.zeros(len(dictionary), np.int64)
+        shard = _sharded(dictionary, shards)
+        order = np.argsort(shard, kind="stable")
+        place = np.empty(len(order), np.int32)
+        place[order] = np.arange(len(order), dtype=np.int32)
+        counts, out = np.zeros(len(dictionary), np.int64), []
         for own, (_, sizes), ids, held in zip(codes, runs, keys, flags, strict=True):
+            own = place[own]
             counts += np.bincount(own[~np.repeat(held, sizes + 1)], minlength=len(counts))
-            row = [of("block", [number]), of("ids", [ids]), of("lengths", [(sizes + 1).astype(np.int32)]), of("held", [held]), of("codes", [_packed(own)])]
-            yield pa.RecordBatch.from_arrays([*row, *(pa.nulls(1, _BLOCKS.field(k).type) for k in ("pos", "word", "n"))], schema=_BLOCKS)
-        for a in range(0, len(dictionary), BATCH_ROWS):
-            part = dictionary.slice(a, BATCH_ROWS).cast(pa.binary()).cast(pa.string())
-            n = len(part)
-            none = (pa.nulls(n, _BLOCKS.field(k).type) for k in ("ids", "lengths", "held", "codes"))
-            yield pa.RecordBatch.from_arrays([of("block", np.full(n, number)), *none, of("pos", np.arange(a, a + n, dtype=np.int32)), part, of("n", counts[a : a + n])], schema=_BLOCKS)
-        number += 1
-
-    runs, keys, flags, size = [], [], [], 0
-    for batch in batches:
-        for part in slices(batch):
-            data, at = utf8(part.column("text"))
-            runs.append(split_words(data, at))
-            keys.append(part.column(0).to_pylist())
-            flags.append(held_out(keys[-1]))
-            size += len(data)
-            if size >= BLOCK_BYTES:
-                yield from closed(runs, keys, flags)
-                runs, keys, flags, size = [], [], [], 0
-    if runs:
-        yield from closed(runs, keys, flags)
+            out.append({"ids": [ids], "lengths": [(sizes + 1).astype(np.int32)], "held": [held], "codes": [_packed(own)]})
+        data, at = utf8(dictionary.take(pa.array(order)))
+        shard = shard[order]
+        first = np.flatnonzero(np.diff(shard, prepend=-1))
+        spans = list(zip(first.tolist(), [*first[1:].tolist(), len(shard)], strict=True))
+        sizes = np.diff(at).astype("<i4")
+        out.append({"shard": shard[first], "words": [data[at[a] : at[b]].tobytes() for a, b in spans], "sizes": [sizes[a:b].tobytes() for a, b in spans], "n": [counts[a:b].astype("<i8").tobytes() for a, b in spans]})
+        yield out
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 20
+
+        def batched(*runs: list) -> Iterator[pa.RecordBatch]:
+            nonlocal number
+            for block in closed(*runs):
+                for some in block:
+                    rows = len(next(iter(some.values())))
+                    columns = {"block": np.full(rows, number)} | some
+                    yield pa.RecordBatch.from_arrays([of(k, columns[k]) if k in columns else pa.nulls(rows, _BLOCKS.field(k).type) for k in _BLOCKS.names], schema=_BLOCKS)
+                number += 1
+
+        runs, keys, flags, size = [], [], [], 0
+        for batch in batches:
+            for part in slices(batch):
+                data, at = utf8(part.column("text"))
+                runs.append(split_words(data, at))
+                keys.append(part.column(0).to_pylist())
+                flags.append(held_out(keys[-1]))
+                size += len(data)
+                if size >= BLOCK_BYTES:
+                    yield from batched(runs, keys, flags)
+                    runs, keys, flags, size = [], [], [], 0
+        if runs:
+            yield from batched(runs, keys, flags)
+
+    return task
 
 
 def _emissions(counts: np.ndarray, shares: np.ndarray, totals: dict, states: int) -> tuple[np.ndarray, np.ndarray]:
@@ -379,37 +407,42 @@ def _flags(block: pa.Table) -> np.ndarray:
     return np.concatenate([np.zeros(0, bool), *(x.values.to_numpy(zero_copy_only=False) for x in block["held"])])
 
 
-def _dictionary(dictionary: pa.Table, n: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Numbers of a block's known words, and counts and packed shares of all its words, at least n; the others are unknown."""
-    at = dictionary["at"].to_numpy()
-    pos = at >> COUNT_BITS
-    n = max(n, int(pos.max(initial=-1)) + 1)
-    counts, shares = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    counts[pos], shares[pos] = at & ((1 << COUNT_BITS) - 1), dictionary["shares"].to_numpy()
-    return pos, counts, shares
+def _longs(column: pa.ChunkedArray, kind: str = "<i8") -> np.ndarray:
+    """The numbers of all rows of a column of packed ones."""
+    return utf8(column)[0].view(kind)
+
+
+def _dictionary(told: pa.Table, n: int) -> tuple[np.ndarray, np.ndarray, pa.Table]:
+    """Counts and packed shares of a block's words, of which the texts have n at least; and the shards' rows in their order."""
+    told = told.sort_by("shard")
+    counts, shares = _longs(told["c"]), _longs(told["shares"])
+    if len(counts) < n:
+        raise ValueError("a block lacks a shard of its dictionary")
+    return counts, shares, told
 
 
 def _expect(model: Model, totals: dict, states: int):
-    """Expected counts of a block's training documents: a row for each of their words, and the side rows."""
-    names = ["word", *_names(states)]
+    """Expected counts of a block's training documents: a row for each shard of its dictionary, and a side row."""
 
-    def group(block: pa.Table, dictionary: pa.Table) -> pa.Table:
+    def group(block: pa.Table, told: pa.Table) -> pa.Table:
         codes, lengths = _texts(block)
         held = _flags(block)
         codes, lengths = codes[~np.repeat(held, lengths)], lengths[~held]
-        at, counts, shares = _dictionary(dictionary, int(codes.max(initial=-1)) + 1)
+        counts, shares, told = _dictionary(told, int(codes.max(initial=-1)) + 1)
         emit, _ = _emissions(counts, shares, totals, states)
         chains = Chains(model, emit, codes, lengths)
         expected, pairs, start = chains.walk(expect=True)
-        total = np.bincount(codes, minlength=len(counts))
-        here = total[at] > 0
-        at, keys = at[here], dictionary["word"].to_numpy()[here]
-        e = _rounded(expected[:, at], total[at])
+        e = _rounded(expected, np.bincount(codes, minlength=len(counts)))
         logs = np.zeros(states)
         logs[0] = chains.log_likelihood.sum() / np.log(10)
-        side = np.rint(np.vstack([pairs, start, logs]) * SIDE_UNIT).astype(np.int64)
-        word = pa.array(np.concatenate([keys, -1 - np.arange(states + 2)]))
-        return pa.table([word, *(pa.array(np.concatenate([e[k], side[:, k]])) for k in range(states))], names=names)
+        side = np.rint(np.vstack([pairs, start, logs]) * SIDE_UNIT).astype("<i8")
+        to = np.cumsum([len(c.as_py()) // 8 for c in told["c"]]).tolist()
+        parts = [e[:, a:b] for a, b in zip([0, *to], to, strict=False)]
+        # Shards take numbers of four bytes for what fits them.
+        packed = [x.astype("<i4" if x.max(initial=0) < 1 << 31 else "<i8").tobytes() for x in parts]
+        number = told["block"][0].as_py() if len(parts) else 0
+        shard = np.append(told["shard"].to_numpy(), -1 - number % SIDE_GROUPS).astype(np.int32)
+        return pa.table([pa.array(np.full(len(shard), number)), pa.array(shard), pa.array([*packed, side.tobytes()], pa.binary())], names=["from_block", "to_shard", "e"])
 
     return group
 
@@ -417,9 +450,9 @@ def _expect(model: Model, totals: dict, states: int):
 def _score(model: Model, totals: dict, states: int):
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
-    def group(block: pa.Table, dictionary: pa.Table) -> pa.Table:
+    def group(block: pa.Table, told: pa.Table) -> pa.Table:
         codes, lengths = _texts(block)
-        _, counts, shares = _dictionary(dictionary, int(codes.max(initial=-1)) + 1)
+        counts, shares, _ = _dictionary(told, int(codes.max(initial=-1)) + 1)
         emit, unigram = _emissions(counts, shares, totals, states)
         chains = Chains(model, emit, codes, lengths)
         chains.walk()
@@ -433,41 +466,111 @@ def _score(model: Model, totals: dict, states: int):
     return group
 
 
-def _shared(rows: DataFrame, states: int) -> DataFrame:
-    """rows (..., e0, ...) with c, the whole count, and shares: those of the states but the last, rounded along their sum."""
-    e = _names(states)
-    total = sum((F.col(x) for x in e[1:]), F.col(e[0]))
-    upto = [F.lit(0).cast("long")] + [F.round(float(SHARES) * sum((F.col(x) for x in e[1 : k + 1]), F.col(e[0])) / F.col("total")).cast("long") for k in range(states - 1)]
-    shares = sum((F.shiftleft(upto[k + 1] - upto[k], 12 * k) for k in range(states - 1)), F.lit(0).cast("long"))
-    return rows.withColumn("total", total).withColumns({"c": (F.col("total") / UNIT).cast("long"), "shares": F.when(F.col("total") > 0, shares).otherwise(F.lit(0).cast("long"))})
+_TOLD = pa.schema([("block", pa.int64()), ("shard", pa.int32()), ("c", pa.binary()), ("shares", pa.binary()), ("keys", pa.binary()), ("sums", pa.list_(pa.int64()))])
+_TOLD_COLUMNS = "block long, shard int, c binary, shares binary, keys binary, sums array<long>"
+
+
+def _told(shard: int, blocks: np.ndarray, sizes: np.ndarray, keys: np.ndarray, e: np.ndarray, counts: np.ndarray, with_keys: bool) -> pa.Table:
+    """What a shard tells: a row for each block, with the counts and packed shares of its words, and one with the shard's sums.
+
+    e and counts are by the shard's words, of which keys are those of the blocks one after the other. Shares are those of
+    the states but the last, rounded along their sum.
+    """
+    states = len(e)
+    total = np.maximum(e.sum(axis=0), 1)
+    upto = np.floor(float(SHARES) * np.cumsum(e, axis=0)[:-1] / total + 0.5).astype(np.int64)
+    part = np.diff(upto, axis=0, prepend=0, append=SHARES) if states > 1 else np.full((1, len(counts)), SHARES, np.int64)
+    known = counts > 0
+    shares = np.zeros(len(counts), np.int64)
+    for k in range(states - 1):
+        shares += np.where(known, part[k] << (12 * k), 0)
+    part = part[:, known]
+    sums = [int(known.sum()), int(counts.sum()), *(part * counts[known]).sum(axis=1).tolist(), *part.sum(axis=1).tolist()]
+    to = np.cumsum(sizes).tolist()
+    spans = list(zip([0, *to], to, strict=False))
+    packed = lambda values, kind: [values[a:b].astype(kind).tobytes() for a, b in spans] + [None]
+    columns = [[*blocks.tolist(), None], [shard] * (len(spans) + 1), packed(counts[keys], "<i8"), packed(shares[keys], "<i8"), packed(keys, "<i4") if with_keys else [None] * (len(spans) + 1), [None] * len(spans) + [sums]]
+    return pa.table([pa.array(v, f.type) for v, f in zip(columns, _TOLD, strict=True)], schema=_TOLD)
+
+
+def _nothing() -> pa.Table:
+    return _TOLD.empty_table()
+
+
+def _number(states: int, others: list[int]):
+    """Numbers a shard's words; tells their counts, and shares as in the sample or those of other words."""
+
+    def group(rows: pa.Table, sample: pa.Table) -> pa.Table:
+        if not rows.num_rows:
+            return _nothing()
+        rows = rows.sort_by("block")
+        size = _longs(rows["sizes"], "<i4").astype(np.int64)
+        at = np.concatenate([[0], np.cumsum(size)])
+        found = pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(at), pa.py_buffer(utf8(rows["words"])[0])]).dictionary_encode()
+        keys, names = found.indices.to_numpy(), found.dictionary
+        counts = np.zeros(len(names), np.int64)
+        np.add.at(counts, keys, _longs(rows["n"]))
+        e = np.repeat(np.array(others, np.int64)[:, None], len(names), axis=1)
+        if sample.num_rows:
+            where = pc.index_in(names, value_set=sample["word"].combine_chunks().cast(pa.large_binary())).fill_null(-1).to_numpy()
+            for k, x in enumerate(_names(states)):
+                e[k, where >= 0] = sample[x].to_numpy()[where[where >= 0]]
+        sizes = np.array([len(x.as_py()) // 4 for x in rows["sizes"]])
+        return _told(rows["shard"][0].as_py(), rows["block"].to_numpy(), sizes, keys, e, counts, True)
+
+    return group
+
+
+def _add(states: int):
+    """Adds up the expected counts of a shard's words, or those of the side rows of a group of blocks."""
+
+    def group(rows: pa.Table, counted: pa.Table) -> pa.Table:
+        if not rows.num_rows:
+            sums = sum(np.frombuffer(x.as_py(), "<i8") for x in counted["e"])
+            return pa.table([pa.array(v, f.type) for v, f in zip([[None], [counted["to_shard"][0].as_py()], [None], [None], [None], [sums]], _TOLD, strict=True)], schema=_TOLD)
+        rows, counted = rows.sort_by("block"), counted.sort_by("from_block")
+        if rows["block"].to_pylist() != counted["from_block"].to_pylist():
+            raise ValueError("a shard lacks the counts of a block")
+        sizes = np.array([len(x.as_py()) // 4 for x in rows["keys"]])
+        keys = _longs(rows["keys"], "<i4")
+        parts = [np.frombuffer(x.as_py(), "<i4" if len(x.as_py()) == 4 * states * n else "<i8").reshape(states, n) for x, n in zip(counted["e"], sizes.tolist(), strict=True)]
+        # Whole numbers below 2 ** 53, so that their sums don't depend on the order.
+        e = np.stack([np.bincount(keys, weights=np.concatenate([x[k] for x in parts])) for k in range(states)]).astype(np.int64)
+        return _told(rows["shard"][0].as_py(), rows["block"].to_numpy(), sizes, keys, e, e.sum(axis=0) // UNIT, False)
+
+    return group
 
 
-def _totals(vocabulary: DataFrame, states: int) -> dict:
-    """Tokens and distinct words, and each state's tokens and distinct words, of (c, shares)."""
-    part = [F.shiftright("shares", 12 * k).bitwiseAND(F.lit(SHARES)) for k in range(states - 1)]
-    part.append(F.lit(SHARES) - sum(part, F.lit(0).cast("long")))
-    # Sums of longs, which don't depend on the order of rows.
-    mass = [F.sum(p * F.col("c").cast("decimal(20,0)")).alias(f"m{k}") for k, p in enumerate(part)]
-    types = [F.sum(p).alias(f"t{k}") for k, p in enumerate(part)]
-    sums = vocabulary.agg(F.count("c").alias("v"), F.coalesce(F.sum("c"), F.lit(0)).alias("n"), *mass, *types).head()
-    return {"v": sums["v"], "n": sums["n"], "mass": [float(sums[f"m{k}"] or 0) / SHARES for k in range(states)], "types": [(sums[f"t{k}"] or 0) / SHARES for k in range(states)]}
+def _totals(told: DataFrame, states: int) -> dict:
+    """Tokens and distinct words, and each state's tokens and distinct words."""
+    sums = told.filter("block is null and shard >= 0").agg(*(F.coalesce(F.sum(F.col("sums")[k].cast("decimal(20,0)")), F.lit(0)).alias(f"s{k}") for k in range(2 + 2 * states))).head()
+    sums = [int(x) for x in sums]
+    return {"v": sums[0], "n": sums[1], "mass": [x / SHARES for x in sums[2 : 2 + states]], "types": [x / SHARES for x in sums[2 + states :]]}
 
 
 def _sides(rows: DataFrame, states: int) -> np.ndarray:
-    """The side rows, of which there are states + 2 at most."""
+    """The side rows of the sample, of which there are states + 2 at most."""
     out = np.zeros((states + 2, states))
     for r in rows.filter("side is not null").collect():
         out[r["side"]] = [r[x] / SIDE_UNIT for x in _names(states)]
     return out
 
 
-def _sample(docs: DataFrame, sample: int, states: int) -> DataFrame:
-    """(word, side, e0, ...) of the model of the sample, fitted in one task."""
+def _added(told: DataFrame, states: int) -> np.ndarray:
+    """Expected transitions, starts, and the likelihood, of which there are SIDE_GROUPS sums at most."""
+    out = [0] * (states * (states + 2))
+    for r in told.filter("shard < 0").collect():
+        out = [x + y for x, y in zip(out, r["sums"], strict=True)]
+    return np.array([x / SIDE_UNIT for x in out]).reshape(states + 2, states)
+
+
+def _sample(docs: DataFrame, sample: int, states: int, shards: int) -> DataFrame:
+    """(word, shard, side, e0, ...) of the model of the sample, fitted in one task."""
     fold = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(5))
     short = docs.filter((fold != 1) & F.col("doc_id").isNotNull() & (F.length("text") <= SAMPLE_CHARS))
     picked = short.select(F.xxhash64("doc_id").alias("hash"), F.col("text").cast("binary").alias("text")).orderBy("hash", "text").limit(sample)
-    schema = "word string, side int, " + ", ".join(f"{x} long" for x in _names(states))
-    return picked.groupBy(F.lit(0).alias("one")).applyInArrow(_sample_task(states), schema)
+    schema = "word binary, shard int, side int, " + ", ".join(f"{x} long" for x in _names(states))
+    return picked.groupBy(F.lit(0).alias("one")).applyInArrow(_sample_task(states, shards), schema)
 
 
 def lm_scores(docs: DataFrame, states: int = STATES, sample: int = SAMPLE, rounds: int = ROUNDS, report: list | None = None) -> DataFrame:
@@ -487,45 +590,34 @@ def lm_scores(docs: DataFrame, states: int = STATES, sample: int = SAMPLE, round
     if not 1 <= states <= 6:
         raise ValueError("1 to 6 states")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    e = _names(states)
-    start = written(_sample(docs, sample, states), "hmm-sample")
-    blocks = written(docs.mapInArrow(_blocks, _BLOCK_COLUMNS), "hmm-blocks")
-
-    # Each known word gets a number; the blocks' dictionaries are written once more with it in place of the word.
-    known = blocks.filter("pos is not null").groupBy("word").agg(F.sum("n").alias("n")).filter("n > 0")
+    size = docs.agg(F.sum(F.octet_length("text"))).head()[0]
+    shards = max(1, -(-(size or 0) // SHARD_BYTES))
+    start = written(_sample(docs, sample, states, shards), "hmm-sample")
+    blocks = written(docs.mapInArrow(_blocks(shards), _BLOCK_COLUMNS), "hmm-blocks")
     side = _sides(start, states)
     if not side.any():
         model, share = fit_sample([], states)
         side = np.vstack([model.trans, model.before, share[None]])
     others = [int(round(x * SIDE_UNIT)) for x in side[states + 1]]
-    first = known.join(start.filter("side is null"), "word", "left").select("word", "n", *(F.coalesce(x, F.lit(o).cast("long")).alias(x) for x, o in zip(e, others, strict=True)))
-    first = _shared(first, states).select("word", F.col("n").alias("c"), "shares").withColumn("number", F.monotonically_increasing_id())
-    first = written(first, "hmm-words")
-    keys = blocks.filter("pos is not null").select("block", "pos", "word").join(first, "word").select("block", "pos", F.col("number").alias("word"))
-    keys = written(keys, "hmm-keys")
-    vocabulary = first.select(F.col("number").alias("word"), "c", "shares")
-    totals = _totals(vocabulary, states)
-    model = Model(side[:states], side[states])
 
+    dealt = blocks.filter("shard is not null").select("shard", "block", "words", "sizes", "n").groupBy("shard")
+    known = start.filter("side is null").select("shard", "word", *_names(states)).groupBy("shard")
+    first = told = written(dealt.cogroup(known).applyInArrow(_number(states, others), _TOLD_COLUMNS), "hmm-shards")
+    keys = first.filter("block is not null").select("shard", "block", "keys")
+    model, totals = Model(side[:states], side[states]), _totals(told, states)
     coded = blocks.filter("codes is not null").select("block", "ids", "lengths", "held", "codes")
 
-    def dictionary(*more: str):
-        at = F.shiftleft(F.col("pos").cast("long"), COUNT_BITS).bitwiseOR(F.col("c"))
-        return keys.join(vocabulary, "word").select(F.col("block").alias("of_block"), at.alias("at"), *more, "shares").groupBy("of_block")
+    def by_block():
+        return coded.groupBy("block").cogroup(told.filter("block is not null").select("block", "shard", "c", "shares").groupBy("block"))
 
     reached = None
     for k in range(rounds):
-        counted = coded.groupBy("block").cogroup(dictionary("word")).applyInArrow(_expect(model, totals, states), "word long, " + ", ".join(f"{x} long" for x in e))
-        summed = counted.groupBy("word").agg(*(F.sum(x).alias(x) for x in e))
-        # Numbers of words count up from 0; the side rows have those below.
-        is_side = F.col("word") < 0
-        summed = _shared(summed, states).select("word", "c", "shares", *(F.when(is_side, F.col(x)).alias(x) for x in e))
-        before, vocabulary = vocabulary, written(summed, f"hmm-round-{k}")
-        side = _sides(vocabulary.filter(is_side).withColumn("side", (-1 - F.col("word")).cast("int")), states)
-        vocabulary = vocabulary.filter(~is_side).select("word", "c", "shares")
+        counted = by_block().applyInArrow(_expect(model, totals, states), "from_block long, to_shard int, e binary")
+        before, told = told, written(keys.groupBy("shard").cogroup(counted.groupBy("to_shard")).applyInArrow(_add(states), _TOLD_COLUMNS), f"hmm-round-{k}")
         if k:
             dropped(before)
-        model, totals = _updated(side[:states], side[states]), _totals(vocabulary, states)
+        side = _added(told, states)
+        model, totals = _updated(side[:states], side[states]), _totals(told, states)
         mean = side[states + 1][0] / max(totals["n"], 1)
         if report is not None:
             report.append(mean)
@@ -533,5 +625,4 @@ def lm_scores(docs: DataFrame, states: int = STATES, sample: int = SAMPLE, round
             break
         reached = mean
         gc.collect()
-    scored = coded.groupBy("block").cogroup(dictionary()).applyInArrow(_score(model, totals, states), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-    return scored
+    return by_block().applyInArrow(_score(model, totals, states), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -352,6 +352,27 @@ def test_rounds_stop_when_they_add_nothing(spark):
     assert len(reached) == 2
 
 
+def test_the_vocabulary_is_dealt_into_shards(docs, monkeypatch):
+    """What is written and shuffled has a row for each block and shard, not for each word; scores don't depend on the shards."""
+    tables, scores = {}, []
+
+    def kept(df, name, *sort):
+        tables[name] = common.written(df, name, *sort)
+        return tables[name]
+
+    some = common.written(docs.select("doc_id", "text").repartition(3), "test-docs")
+    monkeypatch.setattr(hmm, "written", kept)
+    for size in (1 << 30, 100_000):
+        monkeypatch.setattr(hmm, "SHARD_BYTES", size)
+        scores.append({r["doc_id"]: tuple(r) for r in hmm.lm_scores(some, sample=20).collect()})
+        shards = tables["hmm-shards"].select("shard").distinct().count()
+        blocks = tables["hmm-blocks"].select("block").distinct().count()
+        assert (shards > 4) == (size == 100_000) and blocks >= 2
+        assert tables["hmm-shards"].count() <= shards * (blocks + 1) and tables["hmm-blocks"].filter("shard is not null").count() <= shards * blocks
+    assert scores[0].keys() == scores[1].keys()
+    assert all(scores[1][i][:5] == r[:5] and scores[1][i][5:] == pytest.approx(r[5:], rel=1e-12) for i, r in scores[0].items())
+
+
 def test_emissions_add_up_to_one():
     n = hmm.SHARES
     counts, shares = np.array([5, 3, 1]), np.array([n, 0, 100])
