@@ -12,9 +12,15 @@ from pyspark.sql import functions as F
 CHUNK = 64 * 1024
 
 
-def content_fingerprint(size: Column, mtime_ns: Column, content: Column, chunk: int = CHUNK) -> Column:
-    """SHA-256 of size, time, the first chunk, and for longer files the last chunk (which may overlap the first)."""
-    head = F.concat(F.concat_ws(":", F.lit("v2"), size, mtime_ns, F.lit("")).cast("binary"), F.substring(content, 1, chunk))
+def content_fingerprint(size: Column, mtime_ns: Column, content: Column, chunk: int | None = CHUNK) -> Column:
+    """SHA-256 of size, time, the first chunk, and for longer files the last chunk (which may overlap the first).
+
+    Without a chunk it is that of size, time and the whole content.
+    """
+    known = F.concat_ws(":", F.lit("v2"), size, mtime_ns, F.lit("")).cast("binary")
+    if chunk is None:
+        return F.sha2(F.concat(known, content), 256)
+    head = F.concat(known, F.substring(content, 1, chunk))
     tail = F.substring(content, F.greatest(F.length(content) - chunk + 1, F.lit(1)), F.lit(chunk))
     return F.sha2(F.when(size > chunk, F.concat(head, tail)).otherwise(head), 256)
 
