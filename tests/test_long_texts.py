@@ -1,10 +1,13 @@
 """Queries over texts longer than the 64 KiB that a fingerprint of files reads from each end."""
 
+import hashlib
+
 import duckdb
 import pytest
 
 from shelfmark.oracle import SQL
 from shelfmark.queries import QUERIES
+from shelfmark.views import EPOCH
 from tests.oracle import compare, connection
 
 BYTES = 65536
@@ -28,3 +31,11 @@ def test_changed_versions(spark, long_dir):
     df = QUERIES["changed_versions"](spark, long_dir)
     assert df.filter("previous_fingerprint <> ''").count() > 0
     compare(df, connection(long_dir), SQL["changed_versions"])
+
+
+def test_content_fingerprint(spark, long_dir):
+    df = QUERIES["content_fingerprint"](spark, long_dir)
+    texts = duckdb.sql(f"SELECT doc_id, text FROM '{long_dir}/documents.parquet'").fetchall()
+    want = {hashlib.sha256(f"v2:{len(raw)}:{(i * 61 + EPOCH) * 1_000_000_000 + 5}:".encode() + raw).hexdigest() for i, raw in ((i, (t or "").encode()) for i, t in texts)}
+    assert {r["fingerprint"] for r in df.collect()} == want
+    compare(df, connection(long_dir), SQL["content_fingerprint"])
