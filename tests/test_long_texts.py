@@ -39,3 +39,7 @@ def test_content_fingerprint(spark, long_dir):
     want = {hashlib.sha256(f"v2:{len(raw)}:{(i * 61 + EPOCH) * 1_000_000_000 + 5}:".encode() + raw).hexdigest() for i, raw in ((i, (t or "").encode()) for i, t in texts)}
     assert {r["fingerprint"] for r in df.collect()} == want
     compare(df, connection(long_dir), SQL["content_fingerprint"])
+
+
+def test_evidence_index(spark, long_dir):
+    compare(QUERIES["evidence_index"](spark, long_dir), connection(long_dir), SQL["evidence_index"])
