@@ -43,3 +43,7 @@ def test_content_fingerprint(spark, long_dir):
 
 def test_evidence_index(spark, long_dir):
     compare(QUERIES["evidence_index"](spark, long_dir), connection(long_dir), SQL["evidence_index"])
+
+
+def test_intent_index(spark, long_dir):
+    compare(QUERIES["intent_index"](spark, long_dir), connection(long_dir), SQL["intent_index"])
