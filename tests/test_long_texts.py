@@ -47,3 +47,9 @@ def test_evidence_index(spark, long_dir):
 
 def test_intent_index(spark, long_dir):
     compare(QUERIES["intent_index"](spark, long_dir), connection(long_dir), SQL["intent_index"])
+
+
+def test_intent_lookup(spark, long_dir):
+    df = QUERIES["intent_lookup"](spark, long_dir)
+    assert df.filter("intent is not null").count() > 0
+    compare(df, connection(long_dir), SQL["intent_lookup"])
